@@ -44,7 +44,8 @@ def _hits(docs: DataFrame, text: str, benchmark: DataFrame, window: int, keep: l
     shape = {r["n"]: r["c"] for r in windows.groupBy(F.size("window").alias("n")).agg(F.count("*").alias("c")).collect()}  # at most `window` rows
     lengths = sorted(shape) or [window]
     windows = windows.select(F.xxhash64(F.size("window"), *[F.get("window", F.lit(k)) for k in range(window)]).alias("_key"), "window", "items")
-    windows = F.broadcast(windows) if sum(shape.values()) <= MAX_BROADCAST_WINDOWS else windows.hint("merge")
+    small = sum(shape.values()) <= MAX_BROADCAST_WINDOWS
+    windows = F.broadcast(windows) if small else windows.hint("merge")
 
     base = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words(F.col(text)).alias("_w"))
     n = F.size("_w")
@@ -61,10 +62,15 @@ def _hits(docs: DataFrame, text: str, benchmark: DataFrame, window: int, keep: l
         probes = F.array(*[F.struct(F.lit(s).alias("s"), F.when(F.col("_at") < 0, own).otherwise(key(s)).alias("k")) for s in lengths])
         at = at.select("*", F.explode_outer(probes).alias("_p")).where((F.col("_at") >= 0) | (F.col("_p.s") == lengths[0]))
         at = at.select(*base.columns, "_at", F.col("_p.s").alias("_len"), F.col("_p.k").alias("_key"))
-    found = at.join(windows, (at["_key"] == windows["_key"]) & (at["_at"] >= 0) & (F.slice("_w", F.greatest(F.col("_at") + 1, F.lit(1)), F.col("_len")) == windows["window"]), "left")
+    own_window = F.slice("_w", F.greatest(F.col("_at") + 1, F.lit(1)), F.col("_len"))
+    at = at.withColumn("_n", F.when(F.col("_at") < 0, n))
+    if not small:  # the rows are shuffled: each takes its own window along, not the whole text
+        at = at.select("_row", *keep, "_n", "_at", "_len", "_key", F.when(F.col("_at") >= 0, own_window).alias("_own"))
+        own_window = F.col("_own")
+    found = at.join(windows, (at["_key"] == windows["_key"]) & (at["_at"] >= 0) & (own_window == windows["window"]), "left")
     found = found.where((F.col("_at") < 0) | F.col("window").isNotNull())
     span = F.when(F.col("_at") >= 0, F.struct(F.col("_at").alias("start"), (F.col("_at") + F.col("_len")).alias("end")))
-    rows = found.select("_row", *keep, F.when(F.col("_at") < 0, n).alias("_n"), span.alias("_span"), "items")
+    rows = found.select("_row", *keep, "_n", span.alias("_span"), "items")
     return rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.max("_n").cast("long").alias("n_words"), F.array_sort(F.collect_set("_span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
