@@ -117,7 +117,8 @@ def scan_flat(spark: SparkSession, path: str, separator: int = 0, block: int = B
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = cut(files.mapInPandas(blocks, "path string, block int, base long, n long, places array<long>"))
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    name = F.regexp_extract("path", r"part-(\d+)-.*?-c(\d+)", 1).cast("long") * 1_000_000 + F.regexp_extract("path", r"part-(\d+)-.*?-c(\d+)", 2).cast("long")
+    numbers = r"part-(\d+)-[^/]*-c(\d+)[.][^/]*$"
+    name = F.regexp_extract("path", numbers, 1).cast("long") * 1_000_000 + F.regexp_extract("path", numbers, 2).cast("long")
     stitched = found.select(
         name.alias("file"), "places",
         F.coalesce(F.sum(F.size("places")).over(before), F.lit(0)).alias("_docs"),
