@@ -17,6 +17,10 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
+import sys
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,12 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE = 600_000
 BLOCK = 1 << 18
 FILE_ROWS = 4_000
+_BIG = sys.byteorder == "big"
+# Bytes: control characters and anything beyond ASCII and U+00C0 to U+00FF; an apostrophe before a mark; marks before white space; letters.
+_OTHER = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f\xc2\xc4-\xf4]")
+_QUOTED = re.compile(rb"'[!-&(-/:-@\[-`{-~]")
+_MARKS = re.compile(rb"([!-&(-/:-@\[-`{-~]+)(?=[\x20\n])")
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,21 +51,40 @@ class Chunks:
     """White-space separated pieces to their ids, as bytes of little-endian unsigned 16-bit numbers plus ``shift``."""
 
     def __init__(self, path: str, shift: int = 0, plain: bool = False):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.shift, self.known = Tokenizer.from_file(path), shift, {}
-        self.tokenizer.encode_special_tokens = plain
+        self.plain = self.tokenizer.encode_special_tokens = plain
+        name = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.names = {c: name(chr(c))[0][0] for c in range(0xC0, 0x100)}
+
+    def _ids(self, ids) -> bytes:
+        return np.array(ids, "<u2").tobytes() if _BIG else array("H", ids).tobytes()
+
+    def _split(self, raw: bytes) -> list[bytes]:
+        """Pieces of a text, none of which cuts a pre-token. In Latin-1 letters and ASCII the marks at a piece's end part from it."""
+        if _OTHER.search(raw) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw or b"'" in raw and _QUOTED.search(raw) or not self.plain and b"<|" in raw:
+            return raw.split()
+        return _MARKS.sub(rb" \1", raw.lower()).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        known, new = self.known, list(set().union(*split).difference(self.known))
-        if new:
-            ids = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            fresh = {w: (np.asarray(e.ids, "<u4") + self.shift).astype("<u2").tobytes() for w, e in zip(new, ids, strict=True)}
-            if len(known) + len(fresh) <= CACHE:
-                known.update(fresh)
+        split = [self._split(t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]
+        known, shift, merge = self.known, self.shift, self.tokenizer.model.tokenize
+        new = set().union(*split).difference(known)
+        fresh, other = {}, []
+        for w in new:  # a piece of letters is one pre-token: lower case and byte names, then the tokenizer's model alone
+            if w.isalpha():
+                fresh[w] = self._ids([t.id + shift for t in merge(w.decode().lower())])
+            elif _LETTERS.fullmatch(w):
+                fresh[w] = self._ids([t.id + shift for t in merge(w.decode().lower().translate(self.names))])
             else:
-                known = known | fresh
+                other.append(w)
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
+            fresh[w] = self._ids([i + shift for i in e.ids])
+        if len(known) + len(fresh) <= CACHE:
+            known.update(fresh)
+        else:
+            known = ChainMap(fresh, known)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
