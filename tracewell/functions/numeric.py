@@ -22,7 +22,7 @@ def fits(total: Column) -> Column:
 
 
 def floor_div(a: Column, b: Column) -> Column:
-    """a / b rounded towards minus infinity; NULL where b is 0. Exact for wide numbers."""
+    """a / b rounded towards minus infinity, for b above 0; NULL where b is 0. Exact for wide numbers."""
     n, d = a.cast(_WIDE), F.nullif(b.cast(_WIDE), F.lit(0).cast(_WIDE))
     return F.call_function("div", n - F.pmod(n, d), d)
 
@@ -32,8 +32,8 @@ def remainder(a: Column, b: Column) -> Column:
 
 
 def ppm(part: Column, whole: Column) -> Column:
-    """Parts per million, floored and at most one million; 0 where the whole is 0."""
-    return F.when(whole == 0, F.lit(0).cast("bigint")).otherwise(F.least(F.lit(1_000_000).cast("bigint"), floor_div(part.cast(_WIDE) * 1_000_000, whole)))
+    """Parts per million, floored and at most one million; 0 where the whole is 0, NULL where either is unknown."""
+    return F.when(part.isNull() | whole.isNull(), None).when(whole == 0, F.lit(0).cast("bigint")).otherwise(F.least(F.lit(1_000_000).cast("bigint"), floor_div(part.cast(_WIDE) * 1_000_000, whole)))
 
 
 def bucket_of(value: Column, bounds: list[int]) -> Column:
