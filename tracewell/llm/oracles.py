@@ -24,3 +24,58 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN word USING (r) LEFT JOIN items USING (r)
 """
+
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h || '0', (5 * i) // 4 + 1, 2) AS INTEGER) >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '')"
+
+OP5 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, max(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to, 'ok' AS status
+FROM p JOIN f USING (html)
+"""
+
+
+def _op9() -> str:
+    from .quality_rules import CHAR_LEAST, CHAR_MOST, COMMON, WORD_LEAST, WORD_MOST
+
+    def less(chars: str) -> str:
+        return f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g'))"
+
+    def js(p: str, q: str, size: int) -> str:
+        x = lambda a, i: f"({a}[{i}]::DOUBLE / greatest(list_sum({a}), 1))"
+        half = lambda a, m: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / {m}) ELSE 0 END"
+        terms = [f"({half(x(p, i), m)} + {half(x(q, i), m)}) / 2" for i in range(1, size + 1) for m in [f"(({x(p, i)} + {x(q, i)}) / 2)"]]
+        return f"sqrt(greatest({' + '.join(terms)}, 0))"
+
+    lists = "CASE lg " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in COMMON.items()) + f" ELSE {COMMON['en']} END"
+    langs = ", ".join(f"'{k}'" for k in COMMON)
+    size = len(COMMON["en"]) + 1
+    failed = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS lg,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT r, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), rep AS (
+  SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1) GROUP BY r
+), f AS (
+  SELECT r, doc_id, lg, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({less('#*$%&|<>')} AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(t) AS chars, {less('A-Z')} AS up, {less('0-9')} AS dig, {less(r'.,;:!?' + "''" + r'"()\-')} AS pun, {less(r'^\x00-\x7F')} AS bey,
+    list_transform({lists}, lambda x: len(list_filter(w, lambda y: lower(y) = x))) AS com
+  FROM d LEFT JOIN rep USING (r)
+), g AS (
+  SELECT *, {failed} AS base_failed, [up, dig, pun, n_symbols, chars - word_chars, bey, greatest(chars - up - dig - pun - n_symbols - (chars - word_chars) - bey, 0)] AS p,
+    list_concat(com, [n_words - list_sum(com)]) AS o FROM f
+), ref AS (
+  SELECT lg, [{', '.join(f'sum(p[{i}])' for i in range(1, 8))}] AS q, [{', '.join(f'sum(o[{i}])' for i in range(1, size + 1))}] AS s FROM g WHERE NOT base_failed GROUP BY lg
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(CASE WHEN chars >= {CHAR_LEAST} THEN {js('p', 'q', 7)} END, 0) <= {CHAR_MOST} AND coalesce(CASE WHEN n_words >= {WORD_LEAST} THEN {js('o', 's', size)} END, 0) <= {WORD_MOST} AS kept
+FROM g LEFT JOIN ref USING (lg)
+"""
+
+
+OP9 = _op9()

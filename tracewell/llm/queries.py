@@ -38,7 +38,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-@_query("op5_warc")
+@_query("op5_warc", oracles.OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -64,9 +64,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-@_query("op9_quality_rules")
+@_query("op9_quality_rules", oracles.OP9)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.assess(table(spark, sf_dir, "documents"))
+    return quality_rules.assess(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 @_query("op8_quality_classifier")
