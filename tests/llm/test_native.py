@@ -52,7 +52,8 @@ ITEMS = [(1, prose(14, 1)), (2, prose(30, 1)), (10, "Éou, STONE"), (3, None), (
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_contamination_matches_brute_force(spark, docs, broadcast, monkeypatch):
     if not broadcast:
-        monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", 0)
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST_TEXTS", 0)
     bench = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id long, text string, window string")
     want = bag((r["doc_id"], *naive_hits(r["text"], ITEMS)) for r in docs.collect())
     got = decontaminate.contamination(docs, bench).collect()

@@ -8,8 +8,8 @@ One pass reads the documents: each word position becomes a row with the hash of
 probes the broadcast windows inside one generated-code stage; a match of hashes is verified word by word. Only matches
 and one row per document leave the stage, already combined per document, so no text is ever shuffled.
 
-The benchmark side is broadcast while it has at most ``MAX_BROADCAST_WINDOWS`` windows (counted first); beyond that the
-same join runs as a shuffled join on the window hash.
+The benchmark side is broadcast while its windows and item ids take at most ``MAX_BROADCAST`` bytes (summed first); beyond
+that the same join runs as a shuffled join on the window hash.
 
 Defined results: null text, empty text or no words: n_words 0 and not contaminated. Null or repeated doc_id: every input
 row gives its own output row. Items with a null id still mark words but are not listed. Empty benchmark: nothing is hit.
@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ascii_lower, cut
 
 WINDOW = 10
-MAX_BROADCAST_WINDOWS = 1_000_000
+MAX_BROADCAST = 128 << 20  # bytes of windows, each with 200 for its fields
+MAX_BROADCAST_TEXTS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,10 +42,11 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def _hits(docs: DataFrame, text: str, benchmark: DataFrame, window: int, keep: list[str]) -> DataFrame:
     """One row per input row: _row, the columns of keep, n_words, spans of hit words [(start, end)], item lists."""
     windows = benchmark_windows(benchmark, window)
-    shape = {r["n"]: r["c"] for r in windows.groupBy(F.size("window").alias("n")).agg(F.count("*").alias("c")).collect()}  # at most `window` rows
+    held = F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 8 * F.size("items") + 200
+    shape = {r["n"]: r["c"] for r in windows.groupBy(F.size("window").alias("n")).agg(F.sum(held.cast("long")).alias("c")).collect()}  # at most `window` rows
     lengths = sorted(shape) or [window]
     windows = windows.select(F.xxhash64(F.size("window"), *[F.get("window", F.lit(k)) for k in range(window)]).alias("_key"), "window", "items")
-    small = sum(shape.values()) <= MAX_BROADCAST_WINDOWS
+    small = sum(shape.values()) <= MAX_BROADCAST
     windows = F.broadcast(windows) if small else windows.hint("merge")
 
     base = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words(F.col(text)).alias("_w"))
@@ -91,18 +93,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """``docs`` without contaminated documents (remove="documents") or without the hit words (remove="spans").
 
     Whether a text is contaminated depends on the text alone, so the decision is joined back by the text's SHA-256. The
-    contaminated texts are counted; up to ``MAX_BROADCAST_WINDOWS`` of them the documents stay where they are, beyond that
-    it is a shuffled join. Removing spans joins the words that stay with single spaces, only in contaminated documents.
+    contaminated texts are counted; up to ``MAX_BROADCAST_TEXTS`` of their digests are broadcast and the documents stay where
+    they are. Beyond that, and where spans go along, Spark picks the join. Removing spans joins the words that stay with single spaces, only in contaminated documents.
     """
     cols = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)])
     text = own.columns[cols.index("text")]
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     hit = cut(_hits(own.select(digest.alias("_digest"), text), text, benchmark, window, ["_digest"]).where(F.size("spans") > 0).select("_digest", "spans").dropDuplicates(["_digest"]))
-    hit = F.broadcast(hit) if hit.count() <= MAX_BROADCAST_WINDOWS else hit
     keyed = own.withColumn("_digest", digest)
     if remove == "documents":
-        left = keyed.join(hit, "_digest", "left_anti")
+        gone = hit.select("_digest")
+        left = keyed.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_TEXTS else gone, "_digest", "left_anti")
     else:
         split_words = words(F.col(text))
         clean = F.array_join(F.filter(split_words, lambda w, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))), " ")

@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import least_hashed
 from .tokens import batches
 
 BITS, MAX_TRAIN, EPOCHS, RATE, SEEN, LOSS, GRADES = 18, 12_000, 20, 0.5, 3, 0.002, 3
@@ -105,7 +106,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Model
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model | None:
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     graded = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    drawn = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most `most` rows of two numbers
+    drawn = least_hashed(graded, "doc_id", most)  # at most `most` rows of two numbers
 
     def run(frames: Iterator[pd.DataFrame]):
         for frame in batches(frames):

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_digest
 
-from .common import cut
+from .common import cut, least_hashed
 from .tokens import batches
 
 SHINGLE, SEED, RADIUS, BANDS = 3, 42, 2, 3
@@ -174,8 +174,7 @@ def _bucket(values: np.ndarray) -> np.ndarray:
 def links(points: DataFrame, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """a, b: a spanning forest, for each shard, of the links between distinct fingerprints (column fp)."""
     near = radius // bands
-    drawn = points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE)
-    sample = np.array([r["fp"] for r in drawn.collect()], np.int64).view(np.uint64)  # at most SAMPLE numbers
+    sample = np.array([r["fp"] for r in least_hashed(points.select("fp"), "fp", SAMPLE).collect()], np.int64).view(np.uint64)  # at most SAMPLE numbers
     masks = band_masks(ALL, bands)
     n = points.count()
     depth = min(11, max(0, int(np.ceil(np.log2(max(1, n) / LEAF)))))
