@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+import re
+
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 OP2 = rf"""
@@ -79,3 +81,78 @@ FROM g LEFT JOIN ref USING (lg)
 
 
 OP9 = _op9()
+
+
+def _op3() -> str:
+    from .secret_scan import BASE, RULES
+
+    def either_case(pattern: str) -> str:
+        """Letters of a pattern, in brackets or alone, in either case; escapes as they are. ``(?i)`` would fold beyond ASCII."""
+        one = lambda x: x if x[0] == "\\" else x.replace("a-z", "A-Za-z") if x[0] == "[" and "A-Z" not in x else x if x[0] == "[" else f"[{x.upper()}{x}]"
+        return re.sub(r"\\x[0-9A-F]{2}|\[[^\]]*\]|[a-z]", lambda m: one(m.group()), pattern)
+
+    kinds = []
+    for k, (name, pattern, fold, group, least) in enumerate(RULES):
+        p = (either_case(pattern) if fold else pattern).replace("'", "''")
+        kinds.append(f"""SELECT r, {k} AS k, '{name}' AS kind, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY r ORDER BY i) AS upto, length(regexp_extract(hit, '{p}', {group})) >= {least} AS ok
+  FROM (SELECT r, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS hit, unnest(g[1 : len(m)]) AS gap FROM (SELECT r, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d))""")
+    base = f"k < {BASE}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  {' UNION ALL '.join(kinds)}
+), s AS (
+  SELECT r, k, CAST(upto - length(hit) AS BIGINT) AS a, CAST(upto AS BIGINT) AS b, concat(kind, ':', CAST(upto - length(hit) AS BIGINT), ':', CAST(upto AS BIGINT)) AS span FROM found WHERE ok
+), a AS (
+  SELECT r, {', '.join(f"count(*) FILTER (k = {k}) AS n_{RULES[k][0]}" for k in range(BASE))},
+    string_agg(span, ',' ORDER BY a, k, b) FILTER ({base}) AS base, string_agg(span, ',' ORDER BY a, k, b) AS spans FROM s GROUP BY r
+)
+SELECT doc_id, {', '.join(f"coalesce(n_{RULES[k][0]}, 0) AS n_{RULES[k][0]}" for k in range(BASE))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (r)
+"""
+
+
+def _op7() -> str:
+    from .url_filter import ALPHABET, HELD, ORDER, RULES, STEP, WEIGHT
+
+    def case(value) -> str:
+        fits = []
+        for action, text in reversed(sorted(RULES, key=lambda r: len(r[1]))):
+            own, _, start = text.partition("/")
+            fits.append(f"WHEN (host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '/{start}') THEN '{value(action, text)}'")
+        return f"CASE {' '.join(fits)} END"
+
+    sums = {f"{c}_{f}": f"count(*) FILTER (act = '{a}'{'' if f == 'full' else ' AND NOT held'})" for c, a in (("a", "allow"), ("b", "block")) for f in ("full", "fit")}
+    size, levels = ORDER + 1, []
+    for k in range(size):
+        key, context = f"right(gram, {k + 1})", f"substr(gram, {size - k}, {k})"
+        odds = [f"(sum({c}) OVER (PARTITION BY {key}) + {WEIGHT} * {f'p_{c}' if k else f'(1.0::DOUBLE / {len(ALPHABET) + 3})'}) / (sum({c}) OVER (PARTITION BY {context}) + {WEIGHT}) AS p_{c}" for c in sums]
+        levels.append(f"l{k} AS (SELECT gram, {', '.join(sums)}, {', '.join(odds)} FROM {f'l{k - 1}' if k else 'c'})")
+    marks = re.escape(ALPHABET.lstrip("abcdefghijklmnopqrstuvwxyz0"))
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), {_ABC}), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(substr(md5(url), 1, 1) IN ({', '.join(f"'{h}'" for h in HELD)}), false) AS held,
+    '{'^' * ORDER}' || regexp_replace(regexp_replace(translate(coalesce(url, ''), {_ABC}), '[0-9]', '0', 'g'), '[^a-z0{marks}]', '*', 'g') || '$' AS s FROM pages
+), u AS (
+  SELECT *, {case(lambda a, t: t)} AS rule, {case(lambda a, t: a)} AS act FROM v
+), g AS (
+  SELECT r, act, held, substr(s, i, {size}) AS gram FROM (SELECT r, act, held, s, unnest(range(1, length(s) - {ORDER} + 1)) AS i FROM u)
+), c AS (
+  SELECT gram, {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in sums.items())} FROM g GROUP BY gram
+), {', '.join(levels)}, score AS (
+  SELECT r, avg(ln(p_a_full) - ln(p_b_full)) AS full_, avg(ln(p_a_fit) - ln(p_b_fit)) AS fit_ FROM g JOIN l{ORDER} USING (gram) GROUP BY r
+), h AS (
+  SELECT act, CAST(round(fit_ * {STEP}) AS INTEGER) AS s, count(*) AS n FROM u JOIN score USING (r) WHERE held AND act IS NOT NULL GROUP BY ALL
+), bound AS (
+  SELECT t.s, (SELECT sum(n) FROM h WHERE act = 'allow' AND h.s >= t.s) / (SELECT sum(n) FROM h WHERE act = 'allow')::DOUBLE AS good, (SELECT sum(n) FROM h WHERE act = 'block' AND h.s < t.s) / (SELECT sum(n) FROM h WHERE act = 'block')::DOUBLE AS bad
+  FROM (SELECT DISTINCT s FROM h) t
+), best AS (
+  SELECT (s - 0.5::DOUBLE) / {STEP} AS b FROM bound WHERE (SELECT count(DISTINCT act) FROM h) = 2 ORDER BY coalesce(good, 0) + coalesce(bad, 0) DESC, abs(s), s LIMIT 1
+)
+SELECT page_id, host, path, rule, coalesce(act, CASE WHEN full_ < (SELECT b FROM best) THEN 'block' ELSE 'allow' END) AS verdict
+FROM u JOIN score USING (r)
+"""
+
+
+OP3, OP7 = _op3(), _op7()

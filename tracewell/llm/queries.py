@@ -33,7 +33,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
-@_query("op3_secret_scan")
+@_query("op3_secret_scan", oracles.OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -59,9 +59,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-@_query("op7_url_filter")
+@_query("op7_url_filter", oracles.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
 
 
 @_query("op9_quality_rules", oracles.OP9)
