@@ -20,7 +20,6 @@ import io
 import re
 import sys
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,12 +80,13 @@ class Chunks:
                 other.append(w)
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
             fresh[w] = self._ids([i + shift for i in e.ids])
-        if len(known) + len(fresh) <= CACHE:
-            known.update(fresh)
-        else:
-            known = ChainMap(fresh, known)
+        known.update(fresh)
         get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        if len(known) > CACHE:  # what this call added goes again
+            for w in fresh:
+                del known[w]
+        return out
 
 
 _chunks: dict[tuple, Chunks] = {}
