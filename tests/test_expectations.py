@@ -371,3 +371,21 @@ def test_service_envelopes(spark):
     assert one(told["verdict"])["kind"] == "observed_decomposition" and one(told["baseline"])["anomaly"] == "none"
     assert ask(op="explain", **about)["result"]["provenance"].count() == 16 and ask(op="export", kind="samples", limit=5, **about)["result"].count() == 5
     assert ask(op="export", kind="samples", limit=0, **about)["error"]["code"] == "invalid_argument" and ask(op="status")["result"]["records"] == 16
+
+
+def test_crc32c_and_roots_at_the_edges(spark):
+    from tracewell.functions import identity, numeric
+
+    rows = [("123456789", 0), ("", 1), (None, None), ("é😀", -1), ("a", 2**63 - 1), ("b", 3037000499**2), ("c", 3037000499**2 - 1), ("d", 2**53 - 1)]
+    got = spark.createDataFrame(rows, "t string, n long").select("t", "n", identity.crc32c(F.col("t")).alias("crc"), numeric.isqrt(F.col("n")).alias("root")).collect()
+    assert [r["crc"] for r in got][:3] == [0xE3069283, 0, None]
+    assert [r["root"] for r in got] == [0, 1, None, None, 3037000499, 3037000499, 3037000498, 94906265]
+
+
+def test_synthetic_rows_depend_on_the_seed_alone(spark):
+    from tracewell.sources import synthetic
+
+    one = sorted(map(repr, synthetic.exchanges(spark, 300, 7).collect()))
+    assert one == sorted(map(repr, synthetic.exchanges(spark, 300, 7).repartition(5).collect()))
+    assert one != sorted(map(repr, synthetic.exchanges(spark, 300, 8).collect())) and synthetic.exchanges(spark, 0).count() == 0
+    assert all(r["response_ns"] - r["request_ns"] == sum(r["dwells"]) for r in synthetic.exchanges(spark, 50, 1).collect())

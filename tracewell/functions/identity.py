@@ -1,4 +1,4 @@
-"""Identities and instants: FNV-1a, hex ids, names, UTC text."""
+"""Identities and instants: FNV-1a, CRC-32C, hex ids, names, UTC text."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 #: Fixed values of 64-bit FNV-1a.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+#: Fixed value: the Castagnoli polynomial, bits reversed.
+CRC32C_POLYNOMIAL = 0x82F63B78
 NAME = r"^[A-Za-z0-9_][A-Za-z0-9_.:/@+-]{0,127}$"
 
 
@@ -35,6 +37,27 @@ def fnv1a64(text: Column) -> Column:
     return F.when(text.isNull(), None).when(F.length(raw) == 0, F.lit(f"{FNV_OFFSET:016x}")).otherwise(done)
 
 
+def crc32c_table() -> list[int]:
+    """The remainder of each byte."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(r >> 1) ^ (CRC32C_POLYNOMIAL if r & 1 else 0) for r in table]
+    return table
+
+
+def crc32c(text: Column) -> Column:
+    """CRC-32C of the UTF-8 bytes as BIGINT; 0 for an empty text."""
+    raw = F.hex(F.encode(text, "UTF-8"))
+    table, ones = F.array(*[F.lit(r).cast("bigint") for r in crc32c_table()]), (1 << 32) - 1
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(raw), F.lit(1)), F.lit(2)), lambda i: i < F.length(raw))
+
+    def step(crc, i):
+        byte = F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("bigint")
+        return F.get(table, crc.bitwiseXOR(byte).bitwiseAND(255).cast("int")).bitwiseXOR(F.shiftright(crc, 8))
+
+    return F.when(text.isNotNull(), F.aggregate(at, F.lit(ones).cast("bigint"), step, lambda crc: crc.bitwiseXOR(F.lit(ones))))
+
+
 def hex_id(number: Column) -> Column:
     """16 lower-case hex digits of a BIGINT's bits; NULL for 0, which is no identity."""
     return F.when(number != 0, F.lpad(F.lower(F.hex(number)), 16, "0"))

@@ -31,6 +31,13 @@ def remainder(a: Column, b: Column) -> Column:
     return F.pmod(a.cast("decimal(20,0)"), F.nullif(b.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))).cast("bigint")
 
 
+def isqrt(value: Column) -> Column:
+    """Floor of the square root of a BIGINT; NULL below 0. A double's root is off by one at most, which two looks settle."""
+    root = F.floor(F.sqrt(value.cast("double")))
+    square = lambda r: r.cast("decimal(19,0)") * r.cast("decimal(19,0)")
+    return F.when(value < 0, None).when(square(root) > value, root - 1).when(square(root + 1) <= value, root + 1).otherwise(root)
+
+
 def ppm(part: Column, whole: Column) -> Column:
     """Parts per million, floored and at most one million; 0 where the whole is 0, NULL where either is unknown."""
     return F.when(part.isNull() | whole.isNull(), None).when(whole == 0, F.lit(0).cast("bigint")).otherwise(F.least(F.lit(1_000_000).cast("bigint"), floor_div(part.cast(_WIDE) * 1_000_000, whole)))

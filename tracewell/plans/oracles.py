@@ -271,6 +271,16 @@ k AS (SELECT exchange_id, '{"exchange_id":' || exchange_id || ',"path":"' || pat
     "export_csv_pivot": _with(O, H) + "SELECT o.exchange_id, path, generation, source, received_ns, observed_ns, rtt_ns, " + ", ".join(f"h{i}.dwell_ns AS hop{i}_dwell_ns, h{i}.queue_dwell_ns AS hop{i}_queue_dwell_ns" for i in range(3)) + " FROM o " + " ".join(f"LEFT JOIN h h{i} ON h{i}.exchange_id = o.exchange_id AND h{i}.hop_index = {i}" for i in range(3)),
     "export_limit_accounting": _with(O) + "SELECT path, generation, count(*) AS matched, least(count(*), 400) AS exported, greatest(count(*) - 400, 0) AS skipped, count(*) > 400 AS truncated FROM o GROUP BY path, generation",
     "identity_fnv": f"SELECT p_partkey, {_fnv('concat_ws($$|$$, p_name, p_brand, p_partkey)')} AS identity FROM part",
+    "identity_crc32c": """SELECT p_partkey, CAST(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(t) + 1), lambda i: ascii(substr(t, i, 1))::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 2197175160 ELSE 0 END)))) AS BIGINT) AS crc
+FROM (SELECT p_partkey, concat_ws('|', p_name, p_brand, p_partkey) AS t FROM part)""",
+    "integer_roots": """SELECT o_orderkey, n, CASE WHEN n >= 0 THEN CAST(r - (CASE WHEN r::HUGEINT * r > n THEN 1 ELSE 0 END) + (CASE WHEN (r + 1)::HUGEINT * (r + 1) <= n THEN 1 ELSE 0 END) AS BIGINT) END AS root
+FROM (SELECT o_orderkey, n, CAST(floor(sqrt(greatest(n, 0)::DOUBLE)) AS BIGINT) AS r FROM (SELECT o_orderkey, o_orderkey * o_orderkey + o_custkey % 5 - 2 AS n FROM orders))""",
+    "synthetic_exchanges": """WITH k AS (SELECT i, j, ((42 + (i * 3 + j + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM range(0, 5000) a(i), range(0, 3) b(j)),
+l AS (SELECT i, j, ((xor(z, z >> 30))::UHUGEINT * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM k),
+m AS (SELECT i, j, ((xor(z, z >> 27))::UHUGEINT * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM l),
+d AS (SELECT i, j, CAST([1000, 2000, 3000][j + 1] + xor(z, z >> 31) % [59001, 88001, 397001][j + 1]::UBIGINT AS BIGINT) AS ns FROM m)
+SELECT i AS sequence, 900000000000 + i * 1000000 AS request_ns, CAST(900000000000 + i * 1000000 + sum(ns) AS BIGINT) AS response_ns, CAST(max(ns) FILTER (j = 0) AS BIGINT) AS hop0_dwell_ns, CAST(max(ns) FILTER (j = 1) AS BIGINT) AS hop1_dwell_ns, CAST(max(ns) FILTER (j = 2) AS BIGINT) AS hop2_dwell_ns FROM d GROUP BY i""",
     "identity_hex": "WITH x AS (SELECT event_id, event_id * 1000003 - 5000015 AS v FROM events) SELECT event_id, CASE WHEN v <> 0 THEN lpad(lower(to_hex(v)), 16, '0') END AS hex, CASE WHEN v <> 0 THEN v END AS number FROM x",
     "format_utc": "WITH x AS (SELECT event_id, epoch_us(ts) * 1000 - event_id * 777000000777001 AS ns FROM events) SELECT event_id, ns, strftime(make_timestamp((ns - ((ns % 1000000000) + 1000000000) % 1000000000) // 1000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(((ns % 1000000000) + 1000000000) % 1000000000 AS VARCHAR), 9, '0') || 'Z' AS text, ns AS parsed FROM x",
     "name_validation": r"""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 7 = 0 THEN '-' || p_brand ELSE p_brand END AS name FROM part), y AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN '+' || p_partkey WHEN p_partkey % 5 = 1 THEN p_partkey || '99999999999999999' ELSE name END AS s FROM x)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import evidence as ev, identity, numeric
 from ..operators import admission, attribution, baseline, catalog, clocks, export, summary
-from ..sources import store, views
+from ..sources import store, synthetic, views
 from ..streaming import fences
 from . import oracles
 from .policy import DEFAULT, PROBES, Policy, default_bounds
@@ -395,6 +395,23 @@ def identity_fnv(spark, sf_dir):
     return views.read(spark, sf_dir, "part").select("p_partkey", identity.fnv1a64(F.concat_ws("|", "p_name", "p_brand", "p_partkey")).alias("identity"))
 
 
+@query
+def identity_crc32c(spark, sf_dir):
+    return views.read(spark, sf_dir, "part").select("p_partkey", identity.crc32c(F.concat_ws("|", "p_name", "p_brand", "p_partkey")).alias("crc"))
+
+
+@query
+def integer_roots(spark, sf_dir):
+    n = F.col("o_orderkey") * F.col("o_orderkey") + F.col("o_custkey") % 5 - 2  # beside and on squares
+    return views.read(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), numeric.isqrt(n).alias("root"))
+
+
+@query
+def synthetic_exchanges(spark, sf_dir):
+    e = synthetic.exchanges(spark, 5_000, 42)
+    return e.select("sequence", "request_ns", "response_ns", *[F.get("dwells", F.lit(i)).alias(f"hop{i}_dwell_ns") for i in range(3)])
+
+
 @query
 def identity_hex(spark, sf_dir):
     h = identity.hex_id(F.col("event_id") * 1_000_003 - 5_000_015)
