@@ -148,7 +148,7 @@ WITH v AS (
   SELECT t.s, (SELECT sum(n) FROM h WHERE act = 'allow' AND h.s >= t.s) / (SELECT sum(n) FROM h WHERE act = 'allow')::DOUBLE AS good, (SELECT sum(n) FROM h WHERE act = 'block' AND h.s < t.s) / (SELECT sum(n) FROM h WHERE act = 'block')::DOUBLE AS bad
   FROM (SELECT DISTINCT s FROM h) t
 ), best AS (
-  SELECT (s - 0.5::DOUBLE) / {STEP} AS b FROM bound WHERE (SELECT count(DISTINCT act) FROM h) = 2 ORDER BY coalesce(good, 0) + coalesce(bad, 0) DESC, abs(s), s LIMIT 1
+  SELECT (s + coalesce((SELECT max(h.s) FROM h WHERE h.s < bound.s), s - 1))::DOUBLE / 2 / {STEP} AS b FROM bound WHERE (SELECT count(DISTINCT act) FROM h) = 2 ORDER BY coalesce(good, 0) + coalesce(bad, 0) DESC, abs(s), s LIMIT 1
 )
 SELECT page_id, host, path, rule, coalesce(act, CASE WHEN full_ < (SELECT b FROM best) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u JOIN score USING (r)

@@ -76,7 +76,7 @@ def model(labelled: DataFrame) -> DataFrame:
 
 
 def _threshold(scored: DataFrame) -> float:
-    """Where the held-out URLs of both labels are told apart best (mean of both rates; the score nearest 0 of equals)."""
+    """Where the held-out URLs of both labels are told apart best (mean of both rates; the score nearest 0 of equals), halfway to the next lower score."""
     rows = scored.where("_held and _action is not null").groupBy(F.round(F.col("_fit") * STEP).cast("int").alias("s"), "_action").count().collect()  # a row for each hundredth
     count = {a: {r["s"]: r["count"] for r in rows if r["_action"] == a} for a in ("allow", "block")}
     n = {a: sum(c.values()) for a, c in count.items()}
@@ -84,7 +84,8 @@ def _threshold(scored: DataFrame) -> float:
         return float("-inf")
     cuts = sorted({r["s"] for r in rows}, key=lambda s: (abs(s), s))
     rate = lambda t: sum(v for s, v in count["allow"].items() if s >= t) / n["allow"] + sum(v for s, v in count["block"].items() if s < t) / n["block"]
-    return (max(cuts, key=rate) - 0.5) / STEP
+    best = max(cuts, key=rate)
+    return (best + max((s for s in cuts if s < best), default=best - 1)) / 2 / STEP
 
 
 def judge(pages: DataFrame, rules=None, page_id: str = "page_id", url: str = "url") -> DataFrame:
