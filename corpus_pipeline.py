@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs: low quality and toxic documents go, one document of each group of near copies stays, documents that hold a
-benchmark passage go, personal data is replaced, and what is left is packed into sequences. All but the last return the
-columns of ``documents``. The trained stages cannot be written in SQL, so there is no ORACLE_SQL; tests hold the stages
+benchmark passage go, personal data is replaced, and what is left is packed into sequences, which are written whole (a row
+each) to the shared folder and returned as their parts in order, with their token ids. All but the last return the columns of ``documents``. The trained stages cannot be written in SQL, so there is no ORACLE_SQL; tests hold the stages
 against brute force.
 """
 
@@ -32,7 +32,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack.pack(docs)
+    return pack.segments(pack.write_sequences(docs, shared_dir(spark, "sequences")))
 
 
 STAGES = [("quality", quality), ("deduplicate", deduplicate), ("decontaminate", drop_contaminated), ("redact", redact), ("pack", pack_sequences)]

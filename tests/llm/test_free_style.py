@@ -131,6 +131,26 @@ def test_packing_is_gapless_and_keeps_every_token(spark, docs):
     assert pack.pack(docs.where("doc_id < 0")).count() == 0
 
 
+def test_sequences_hold_the_tokens(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    own = {(r["doc_id"], tuple(t.encode(r["text"] or "", add_special_tokens=False).ids + [0])) for r in docs.collect()}
+    made = pack.write_sequences(docs, str(tmp_path / "sequences"))
+    rows = made.collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows) > 0
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["n_tokens"] == sum(p["length"] for p in r["parts"]) <= 2048
+        for p in r["parts"]:
+            part = tuple(ids[p["offset"] : p["offset"] + p["length"]])
+            assert any(d == p["doc_id"] and x[p["start"] : p["start"] + p["length"]] == part for d, x in own)
+    placed = "doc_id", "piece", "start", "length", "sequence_id", "offset"
+    found, packed = pack.segments(made).collect(), pack.pack(docs).collect()
+    assert bag((*(r[c] for c in placed), bytes(r["ids"])) for r in found) == bag((*(r[c] for c in placed), bytes(r["ids"])) for r in packed)
+    assert pack.sequences(pack.pack(docs.where("doc_id < 0"))).count() == 0
+
+
 def optimum(sizes, capacity):
     """Least number of bins by trying all (small instances)."""
     sizes, best = sorted(sizes, reverse=True), [len(sizes)]

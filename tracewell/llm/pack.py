@@ -3,15 +3,17 @@
 Documents become token ids plus a final 0 and are cut, only where longer than ``capacity``, into pieces. Lengths are whole
 numbers up to ``capacity``, so the whole instance is its histogram: at most ``capacity`` counts, whatever the input. The
 driver reduces and packs that histogram into *patterns* (how many sequences hold which lengths). Executors then number
-the pieces of each length and look their sequence and offset up in the pattern table, which is broadcast.
+the pieces of each length and look their sequence and offset up in the pattern table, which is broadcast. Pieces carry
+their token ids; :func:`sequences` shuffles them once, to their sequences, and puts each together.
 
 Reduction (Martello and Toth's criteria, on counts): a set that provably dominates every other set holding the same
 largest piece is fixed: an exact pair; a piece that nothing fits beside; the largest partner where two more never fit;
 the largest partner where three more never fit and no feasible pair is longer than it. Fixed sets leave the
 instance and the rest is packed best-fit decreasing.
 
-Numbering without a hot group: pieces of one length are dealt to numbered buckets by row, ranked inside a bucket, and the
-buckets' counts are summed up over a small table, so a length that holds a third of all pieces is many small groups.
+Numbering without a hot group: the task that makes the pieces numbers those of each length and writes the numbers beside
+them; the tasks' counts are summed up over a small table, so a length that holds a third of all pieces is no group at all.
+That table is broadcast up to ``MAX_BROADCAST`` rows (counted first), beyond that joined by shuffle.
 
 Defined results: null and empty texts are one piece of length 1 (the final 0); repeated and null doc_id keep a row each;
 an empty table gives no rows.
@@ -19,18 +21,18 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import cut
+from .common import cut, shared_dir
 from .tokens import batches, chunks, tokenizer_path
 
 CAPACITY = 2048
-BUCKET = 50_000
+MAX_BROADCAST = 500_000
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many sequences, [(length, how many of it in each)]
 
@@ -135,44 +137,69 @@ def _slots(patterns: list[Pattern]) -> list[tuple]:
     return rows
 
 
+_PIECE = "doc_id long, piece int, start long, length long, ids binary, _task int, _k long"
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row of ``docs`` (doc_id, text)."""
+    """doc_id, piece, start, length, ids of every piece of every row of ``docs`` (doc_id, text), and its number ``_k`` among
+    the pieces of its length in the task ``_task``. ids: little-endian unsigned 32-bit numbers."""
     at = tokenizer or tokenizer_path()
 
     def run(frames):
-        own = chunks(at)
+        own, task, seen = chunks(at), TaskContext.get().partitionId(), defaultdict(int)
         for frame in batches(frames):
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
+            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "_task", "_k")}
             for doc, raw in zip(frame["doc_id"], own.encode(list(frame["text"])), strict=True):
                 ids = np.append(np.frombuffer(raw, "<u2").astype("<u4"), np.uint32(0)).astype("<u4")
                 for k, i in enumerate(range(0, len(ids), capacity)):
                     part = ids[i : i + capacity]
-                    for name, value in zip(out, (doc, k, i, len(part), zlib.crc32(part.tobytes())), strict=True):
+                    for name, value in zip(out, (doc, k, i, len(part), part.tobytes(), task, seen[len(part)]), strict=True):
                         out[name].append(value)
+                    seen[len(part)] += 1
             yield pd.DataFrame(out).astype({"doc_id": "Int64"})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return own.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return own.mapInPandas(run, _PIECE)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """The pieces with sequence_id and offset: packed, gapless from 0, at most ``capacity`` tokens a sequence."""
-    spark = docs.sparkSession
-    found = cut(pieces(docs, capacity, tokenizer).withColumn("_row", F.monotonically_increasing_id()))
-    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    """The pieces, their ids too, with sequence_id and offset: packed, gapless from 0, at most ``capacity`` tokens a sequence."""
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "pieces")
+    pieces(docs, capacity, tokenizer).write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(_PIECE).parquet(path)
+    each = cut(found.groupBy("length", "_task").agg(F.count("*").alias("_n")))
+    counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
     slots = spark.createDataFrame(
         _slots(pack_histogram(counts, capacity)),
         T.StructType([T.StructField(n, T.LongType()) for n in ("length", "_lo", "_hi", "_sequence", "_each", "_offset")]),
     )
-    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(max(1, -(-sum(counts.values()) // BUCKET)))))
-    before = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = before.select("length", "_bucket", (F.sum("_n").over(W.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy("_row")) - 1).join(before, ["length", "_bucket"])
-    rank = F.col("_before") + F.col("_rank")
-    placed = ranked.withColumn("_r", rank).join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("_r") >= slots["_lo"]) & (F.col("_r") < slots["_hi"])).drop(slots["length"])
+    before = each.select("length", "_task", (F.sum("_n").over(W.partitionBy("length").orderBy("_task")) - F.col("_n")).alias("_before"))
+    before = F.broadcast(before) if each.count() <= MAX_BROADCAST else before
+    ranked = found.join(before, ["length", "_task"]).withColumn("_r", F.col("_before") + F.col("_k"))
+    placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("_r") >= slots["_lo"]) & (F.col("_r") < slots["_hi"])).drop(slots["length"])
     at = F.col("_r") - F.col("_lo")
     return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
+        "doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"),
         (F.col("_sequence") + F.expr("(_r - _lo) div _each")).alias("sequence_id"),
         (F.col("_offset") + F.pmod(at, F.col("_each")) * F.col("length")).alias("offset"),
     )
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, n_tokens, ids, parts: a row for each sequence of ``pack`` with its tokens whole, and whose they are."""
+    part = F.struct("offset", "length", "doc_id", "piece", "start")
+    made = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.expr("listagg(ids, X'') WITHIN GROUP (ORDER BY offset)").alias("ids"), F.sort_array(F.collect_list(part)).alias("parts"))
+    return made.select("sequence_id", "n_tokens", "ids", "parts")
+
+
+def write_sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+    """The sequences of ``docs`` written as Parquet to ``path``; returns that table."""
+    made = sequences(pack(docs, capacity, tokenizer))
+    made.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def segments(made: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids, sequence_id, offset: the sequences' parts in their order, each with its ids as they stand there."""
+    own = made.select("sequence_id", F.col("ids").alias("_ids"), F.explode("parts").alias("_p")).select("sequence_id", "_ids", "_p.*")
+    return own.select("doc_id", "piece", "start", "length", F.expr("substring(_ids, cast(4 * offset + 1 as int), cast(4 * length as int))").alias("ids"), "sequence_id", "offset")

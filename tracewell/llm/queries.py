@@ -45,7 +45,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.pack(table(spark, sf_dir, "documents"))
+    found = pack.segments(pack.sequences(pack.pack(table(spark, sf_dir, "documents"))))
+    return found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 @_query("op10_simhash")
