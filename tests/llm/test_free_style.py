@@ -108,6 +108,36 @@ def test_warc_tells_of_missing_segments(spark, tmp_path):
     assert [r["status"] for r in warc.read_archives(spark, str(warc_dir)).collect()] == ["segment missing"]
 
 
+def test_warc_gives_payloads_and_checks_revisits(spark, tmp_path):
+    htmls = ["<p>a</p>", "", None, "é" * 30_000] + ["<p>a</p>"] * 500
+    pages = stored(spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string"), tmp_path, "pages")
+    warc.write_archives(pages, path := str(tmp_path / "w"))
+    got = warc.read_archives(spark, path).collect()
+    assert bag((r["page_id"], r["url"], bytes(r["payload"]), r["status"]) for r in got) == bag((i, f"http://h/{i}", (h or "").encode(), "ok") for i, h in enumerate(htmls))
+
+
+def test_warc_from_elsewhere(spark, tmp_path):
+    def record(kind, block, **more):
+        return warc._head(WARC_Type=kind, **more, Content_Length=len(block)) + block + b"\r\n\r\n"
+
+    head, sha1 = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", f"sha1:{warc._digest(b'plain')}"
+    lost = list(warc._records(7, "http://lost", b"x" * 5000, None, False, "n", 1000))[1:]
+    (warc_dir := tmp_path / "w").mkdir()
+    content = [
+        record("warcinfo", b"software: other", WARC_Record_ID="<urn:uuid:0>"),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<urn:uuid:1>", WARC_Target_URI="http://a"),
+        record("response", head + b"plain", WARC_Record_ID="<urn:uuid:2>", WARC_Target_URI="http://a", WARC_Payload_Digest=sha1, Content_Type="application/http; msgtype=response"),
+        record("response", head + b"other", WARC_Record_ID="<urn:uuid:3>", WARC_Target_URI="http://b", WARC_Payload_Digest=sha1, Content_Type="application/http; msgtype=response"),
+        record("revisit", head, WARC_Record_ID="<urn:uuid:4>", WARC_Target_URI="http://c", WARC_Payload_Digest=sha1),
+        record("revisit", head, WARC_Record_ID="<urn:uuid:5>", WARC_Target_URI="http://d", WARC_Refers_To="<urn:uuid:2>"),
+        record("revisit", head, WARC_Record_ID="<urn:uuid:6>", WARC_Target_URI="http://e", WARC_Payload_Digest="sha1:" + "A" * 32),
+        *(x + b"\r\n\r\n" for x in lost),
+    ]
+    (warc_dir / "a.warc").write_bytes(b"".join(content))
+    got = {(r["url"], r["page_id"], r["payload"] and bytes(r["payload"]), r["status"]) for r in warc.read_archives(spark, str(warc_dir)).collect()}
+    assert got == {("http://a", None, b"plain", "ok"), ("http://b", None, b"other", "digest differs"), ("http://c", None, b"plain", "ok"), ("http://d", None, b"plain", "ok"), ("http://e", None, None, "response missing"), (None, 7, None, "segment missing")}
+
+
 def test_packing_is_gapless_and_keeps_every_token(spark, docs):
     from tokenizers import Tokenizer
 
