@@ -225,6 +225,38 @@ def test_fingerprint_by_the_letter():
         assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_rows_stay_told_apart_when_a_later_scan_is_split_otherwise(spark, tmp_path, monkeypatch):
+    texts = [" ".join(hashlib.sha1(f"{i}/{k}".encode()).hexdigest() for k in range(3 + i)) for i in range(16)]
+    rows = [(i, texts[i % 12]) for i in range(16)]
+    for i in range(0, 16, 2):
+        spark.createDataFrame(rows[i : i + 2], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs, key = spark.read.parquet(str(tmp_path / "docs")), "spark.sql.files.maxPartitionBytes"
+    near, scan = simhash.near_duplicates, tokens.scan_flat
+
+    def again(f):
+        def run(*args, **more):
+            out = f(*args, **more)
+            out.count()
+            spark.conf.set(key, "1")
+            return out
+
+        return run
+
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a: again(lambda: near(*a).localCheckpoint())())
+    monkeypatch.setattr(tokens, "scan_flat", again(scan))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        spark.conf.set(key, "1m")
+        assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == list(range(12))
+        spark.conf.set(key, "1m")
+        got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs).collect()}
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    own = tokens.Chunks(tokens.tokenizer_path(), 1, True)
+    assert got == {i: len(own.encode([t])[0]) // 2 for i, t in rows}
+
+
 def brute_components(points, radius=2):
     up = {p: p for p in points}
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_digest
 
-from .common import cut, least_hashed
+from .common import cut, least_hashed, shared_dir
 from .tokens import batches
 
 SHINGLE, SEED, RADIUS, BANDS = 3, 42, 2, 3
@@ -56,14 +56,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, fp (the 64 bits as a signed number) for each row of ``docs``."""
+    """_row, doc_id, fp (the 64 bits as a signed number) for each row of ``docs``. A ``_row`` that ``docs`` has is kept."""
 
     def run(frames):
         for frame in batches(frames):
             fp = np.array([fingerprint(t) for t in frame["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"_row": frame["_row"], "doc_id": frame["doc_id"].astype("Int64"), "fp": fp})
 
-    own = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id().alias("_row")
+    own = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return own.mapInPandas(run, "_row long, doc_id long, fp long")
 
 
@@ -260,11 +261,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bands: int = BANDS) -
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id."""
-    cols = docs.columns
-    own = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)])
+    """``docs`` with one row of each component: that of the smallest doc_id.
+
+    The rows are numbered once and written with their numbers: another scan may be split in another way.
+    """
+    cols, spark, path = docs.columns, docs.sparkSession, shared_dir(docs.sparkSession, "numbered")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], F.monotonically_increasing_id().alias("_row"))
+    own.write.option("compression", "zstd").parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
     doc_id, text = (own.columns[cols.index(c)] for c in ("doc_id", "text"))
-    gone = cut(near_duplicates(docs.select("doc_id", "text")).where(~F.col("keep")).select("_row"))
+    gone = cut(near_duplicates(own.select("_row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where(~F.col("keep")).select("_row"))
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
-    left = own.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti")
-    return left.select(*[F.col(n).alias(c) for n, c in zip(own.columns, cols, strict=True)])
+    left = own.join(gone, "_row", "left_anti")
+    return left.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])

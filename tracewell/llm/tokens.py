@@ -108,20 +108,23 @@ def batches(frames: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.Data
 def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, text: str = "text") -> DataFrame:
     """Write ``docs`` as flat token files below ``path``; returns doc_id, file number and ordinal in it for each row.
 
-    The files hold tokens only. Which document is which is told by the order of rows alone, so both the tokens and the
-    returned numbers come from one numbering of the rows.
+    The files hold tokens only. Which document is which is told by the order of rows alone, so doc_id and tokens are first
+    written together to the checkpoint folder: its parts stay as they are, while another scan of ``docs`` may be split in
+    another way. Both the files and the returned numbers come from those parts.
     """
     at = tokenizer or tokenizer_path()
 
     def encode(frames):
         own = chunks(at, shift=1, plain=True)
         for frame in batches(frames):
-            yield pd.DataFrame({"tokens": own.encode(list(frame["text"]))})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "tokens": own.encode(list(frame["text"]))})
 
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    flat = texts.mapInPandas(encode, "tokens binary").select(F.col("tokens").cast("string").alias("value"))
+    kind = docs.schema["doc_id"].dataType
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))  # pandas has no whole numbers with nulls
+    held = cut(texts.mapInPandas(encode, "doc_id string, tokens binary"))
+    flat = held.select(F.col("tokens").cast("string").alias("value"))
     flat.write.option("lineSep", "\0\0").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
-    row = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"))
+    row = held.select(F.col("doc_id").cast(kind).alias("doc_id"), F.monotonically_increasing_id().alias("_row"))
     part, place = F.shiftright("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
     return row.select("doc_id", (part * 1_000_000 + F.expr(f"(_row & {(1 << 33) - 1}) div {FILE_ROWS}")).alias("file"), (place % FILE_ROWS).alias("ordinal"))
 
