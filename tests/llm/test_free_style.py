@@ -39,7 +39,7 @@ def test_scan_stitches_blocks_and_reports_an_unclosed_tail(spark, tmp_path):
     import gzip
 
     stream = np.array([5, 6, 0, 0, 7, 8, 9, 10, 11, 12, 13, 0, 14], "<u2")
-    (tmp_path / "part-00003-x-c002.txt.gz").write_bytes(gzip.compress(stream.tobytes()))
+    (tmp_path / "any.gz").write_bytes(gzip.compress(stream.tobytes()))
     for block in (1, 2, 3, 5, 100):
         got = sorted((r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in tokens.scan_flat(spark, str(tmp_path), block=block).collect())
         assert got == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 7, True), (3, 12, 1, False)]
@@ -55,6 +55,30 @@ def test_chunks_give_the_tokenizers_ids():
         assert np.frombuffer(raw, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path(name)
+    t, own = Tokenizer.from_file(path), tokens.Chunks(path)
+    texts = ["Two  words, it's\n\nNEW lines 12345", " lead", "", "<|endoftext|>"]
+    assert own.by_word == name.startswith("word")
+    for text, raw in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_close_at_their_bounds_and_mismatches_fail(spark, docs, monkeypatch):
+    monkeypatch.setattr(tokens, "FILE_ROWS", 3)
+    want = bag((r["doc_id"], r["n_tokens"]) for r in tokens.token_counts(docs).collect())
+    monkeypatch.setattr(tokens, "FILE_TOKENS", 50)
+    monkeypatch.setattr(tokens, "BLOCK", 7)
+    assert bag((r["doc_id"], r["n_tokens"]) for r in tokens.token_counts(docs).collect()) == want
+    whole = tokens.scan_flat
+    monkeypatch.setattr(tokens, "scan_flat", lambda *a: whole(*a).where("ordinal <> 1"))
+    with pytest.raises(Exception, match="do not match"):
+        tokens.token_counts(docs).collect()
+
+
 def naive_secrets(text):
     text = text or ""
     found = []
@@ -242,7 +266,7 @@ def test_rows_stay_told_apart_when_a_later_scan_is_split_otherwise(spark, tmp_pa
 
         return run
 
-    monkeypatch.setattr(simhash, "near_duplicates", lambda *a: again(lambda: near(*a).localCheckpoint())())
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a: again(lambda: near(*a).checkpoint())())
     monkeypatch.setattr(tokens, "scan_flat", again(scan))
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:

@@ -9,14 +9,16 @@ reads such files in blocks of ``block`` tokens, finds the separators of a block
 documents that cross blocks with a prefix scan over the blocks of a file: the running maximum of separator places and the
 running sum of separator counts.
 
-Defined results: null and empty texts are documents of 0 tokens; repeated rows and repeated or null doc_id each keep their
-own row; tokens after a file's last separator are a document too (``closed`` false); an empty table has no rows.
+Defined results: null and empty texts are documents of 0 tokens; very long texts are encoded whole and may fill a file of
+their own; repeated rows and repeated or null doc_id each keep their own row; tokens after a file's last separator are a
+document too (``closed`` false); an empty table has no rows; other columns of the table, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import json
 import re
 import sys
 from array import array
@@ -24,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .common import cut, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 CACHE = 600_000
 BLOCK = 1 << 18
-FILE_ROWS = 4_000
+FILE_ROWS, FILE_TOKENS, FILES_PER_TASK = 20_000, 1 << 22, 1_000_000
+LINE, SEPARATOR = "\0\0", b"\0\0"
 _BIG = sys.byteorder == "big"
 # Bytes: control characters and anything beyond ASCII and U+00C0 to U+00FF; an apostrophe before a mark; marks before white space; letters.
 _OTHER = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f\xc2\xc4-\xf4]")
@@ -46,14 +50,36 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: How a tokenizer file must normalise and part texts for its pieces between white space to be encoded alone.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def parts_at_white_space(spec: dict) -> bool:
+    """Whether a tokenizer file (parsed) drops white space, lower-cases, and never joins across white space."""
+    split = {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}
+    normal, parts = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    own = normal.get("normalizers") == _NORMAL and parts.get("pretokenizers") == [split, _BYTES]
+    return own and not spec.get("post_processor") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+
+
 class Chunks:
-    """White-space separated pieces to their ids, as bytes of little-endian unsigned 16-bit numbers plus ``shift``."""
+    """White-space separated pieces to their ids, as bytes of little-endian unsigned 16-bit numbers plus ``shift``.
+
+    Texts are encoded whole where the file parts them in another way (:func:`parts_at_white_space`); a vocabulary whose ids
+    leave 16 bits is refused.
+    """
 
     def __init__(self, path: str, shift: int = 0, plain: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.shift, self.known = Tokenizer.from_file(path), shift, {}
         self.plain = self.tokenizer.encode_special_tokens = plain
+        with open(path, encoding="utf-8") as f:
+            self.by_word = parts_at_white_space(json.load(f))
+        if max(self.tokenizer.get_vocab().values(), default=0) + shift > 0xFFFF:
+            raise ValueError(f"ids of {path} leave 16 bits")
         name = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.names = {c: name(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
@@ -66,7 +92,13 @@ class Chunks:
             return raw.split()
         return _MARKS.sub(rb" \1", raw.lower()).split()
 
+    def _whole(self, texts: list[str], shift: int) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [self._ids([i + shift for i in e.ids]) for e in found]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self._whole(texts, self.shift)
         split = [self._split(t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]
         known, shift, merge = self.known, self.shift, self.tokenizer.model.tokenize
         new = set().union(*split).difference(known)
@@ -78,8 +110,7 @@ class Chunks:
                 fresh[w] = self._ids([t.id + shift for t in merge(w.decode().lower().translate(self.names))])
             else:
                 other.append(w)
-        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
-            fresh[w] = self._ids([i + shift for i in e.ids])
+        fresh |= zip(other, self._whole([w.decode("utf-8", "replace") for w in other], shift), strict=True)
         known.update(fresh)
         get = known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
@@ -106,31 +137,47 @@ def batches(frames: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.Data
 
 
 def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, text: str = "text") -> DataFrame:
-    """Write ``docs`` as flat token files below ``path``; returns doc_id, file number and ordinal in it for each row.
+    """Write ``docs`` as flat token files below ``path``/kind=tokens; returns file, ordinal and doc_id of each row.
 
-    The files hold tokens only. Which document is which is told by the order of rows alone, so doc_id and tokens are first
-    written together to the checkpoint folder: its parts stay as they are, while another scan of ``docs`` may be split in
-    another way. Both the files and the returned numbers come from those parts.
+    One pass writes both the flat files, which hold tokens and separators only, and beside each of them, below kind=ids,
+    the list of its documents: the same task attempt makes both, so no second reading of ``docs`` has to agree with the
+    first. A file ends after ``FILE_TOKENS`` tokens or ``FILE_ROWS`` documents.
     """
     at = tokenizer or tokenizer_path()
 
     def encode(frames):
-        own = chunks(at, shift=1, plain=True)
-        for frame in batches(frames):
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "tokens": own.encode(list(frame["text"]))})
+        own, task, number = chunks(at, shift=1, plain=True), TaskContext.get().partitionId(), 0
+        ids, held, size = [], [], 0
+
+        def filled():
+            name = task * FILES_PER_TASK + number
+            return pd.DataFrame({"kind": ["ids", "tokens"], "file": [name, name], "value": [json.dumps(ids).encode(), SEPARATOR.join(held)]})
 
-    kind = docs.schema["doc_id"].dataType
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))  # pandas has no whole numbers with nulls
-    held = cut(texts.mapInPandas(encode, "doc_id string, tokens binary"))
-    flat = held.select(F.col("tokens").cast("string").alias("value"))
-    flat.write.option("lineSep", "\0\0").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
-    row = held.select(F.col("doc_id").cast(kind).alias("doc_id"), F.monotonically_increasing_id().alias("_row"))
-    part, place = F.shiftright("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
-    return row.select("doc_id", (part * 1_000_000 + F.expr(f"(_row & {(1 << 33) - 1}) div {FILE_ROWS}")).alias("file"), (place % FILE_ROWS).alias("ordinal"))
+        for frame in batches(frames):
+            for doc, raw in zip(frame["doc_id"], own.encode(list(frame["text"])), strict=True):
+                ids.append(None if doc is None else str(doc))
+                held.append(raw)
+                size += len(raw)
+                if len(held) >= FILE_ROWS or size >= 2 * FILE_TOKENS:
+                    yield filled()
+                    ids, held, size, number = [], [], 0, number + 1
+        if held:
+            yield filled()
+
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = texts.mapInPandas(encode, "kind string, file long, value binary")
+    flat = made.select("kind", "file", F.col("value").cast("string").alias("value"))
+    flat.write.partitionBy("kind", "file").option("lineSep", LINE).option("compression", "gzip").text(path)
+    if docs.isEmpty():  # no file, no folder
+        return spark.createDataFrame([], T.StructType([T.StructField("file", T.LongType()), T.StructField("ordinal", T.IntegerType()), T.StructField("doc_id", kind)]))
+    listed = spark.read.schema("value string, file long").option("lineSep", LINE).text(f"{path}/kind=ids")
+    rows = listed.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("ordinal", "doc_id"))
+    return rows.select("file", "ordinal", F.col("doc_id").cast(kind).alias("doc_id"))
 
 
 def scan_flat(spark: SparkSession, path: str, separator: int = 0, block: int = BLOCK) -> DataFrame:
-    """file, ordinal, start, n_tokens, closed: the documents of flat token files, found from their separators alone.
+    """path, ordinal, start, n_tokens, closed: the documents of flat token files, found from their separators alone.
 
     ``start`` counts tokens from the file's beginning, separators included.
     """
@@ -148,27 +195,49 @@ def scan_flat(spark: SparkSession, path: str, separator: int = 0, block: int = B
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = cut(files.mapInPandas(blocks, "path string, block int, base long, n long, places array<long>"))
-    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    numbers = r"part-(\d+)-[^/]*-c(\d+)[.][^/]*$"
-    name = F.regexp_extract("path", numbers, 1).cast("long") * 1_000_000 + F.regexp_extract("path", numbers, 2).cast("long")
+    of_file = W.partitionBy("path").orderBy("block")
+    before = of_file.rowsBetween(W.unboundedPreceding, -1)
+    end = F.element_at(F.expr("nullif(places, array())"), -1)
     stitched = found.select(
-        name.alias("file"), "places",
+        "path",
+        "places",
         F.coalesce(F.sum(F.size("places")).over(before), F.lit(0)).alias("_docs"),
-        F.coalesce(F.max(F.element_at(F.expr("nullif(places, array())"), -1)).over(before), F.lit(-1)).alias("_last"),
-        F.lead("block").over(W.partitionBy("path").orderBy("block")).isNull().alias("_end"),
+        F.coalesce(F.max(end).over(before), F.lit(-1)).alias("_last"),
+        F.lead("block").over(of_file).isNull().alias("_end"),
         (F.col("base") + F.col("n")).alias("_to"),
-    )
-    last = F.coalesce(F.element_at(F.expr("nullif(places, array())"), -1), F.col("_last"))
-    rest = F.when(F.col("_end") & (last + 1 < F.col("_to")), F.array(F.col("_to"))).otherwise(F.array().cast("array<bigint>"))
-    return (
-        stitched.select("file", "_docs", "_last", F.size("places").alias("_n"), F.posexplode(F.concat("places", rest)).alias("_i", "_at"), F.concat(F.array("_last"), "places").alias("_from"))
-        .select("file", (F.col("_docs") + F.col("_i")).alias("ordinal"), (F.element_at("_from", F.col("_i") + 1) + 1).alias("start"), "_at", (F.col("_i") < F.col("_n")).alias("closed"))
-        .select("file", "ordinal", "start", (F.col("_at") - F.col("start")).alias("n_tokens"), "closed")
+    )
+    last = F.coalesce(end, F.col("_last"))
+    open_ = F.when(F.col("_end") & (last + 1 < F.col("_to")), F.array(F.col("_to")))
+    rest = open_.otherwise(F.array().cast("array<bigint>"))
+    each = stitched.select(
+        "path",
+        "_docs",
+        F.size("places").alias("_n"),
+        F.posexplode(F.concat("places", rest)).alias("_i", "_at"),
+        F.concat(F.array("_last"), "places").alias("_from"),
+    )
+    start = F.element_at("_from", F.col("_i") + 1) + 1
+    return each.select(
+        "path",
+        (F.col("_docs") + F.col("_i")).alias("ordinal"),
+        start.alias("start"),
+        (F.col("_at") - start).alias("n_tokens"),
+        (F.col("_i") < F.col("_n")).alias("closed"),
     )
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, file, start: flat token files written, scanned, and matched to the rows by order."""
-    path = shared_dir(docs.sparkSession, "flat-tokens")
+    """doc_id, n_tokens, file, start: flat token files written, scanned, and matched to the rows by file and order.
+
+    A document listed but not found, found but not listed, or without its separator is an error and never a missing row.
+    """
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "flat-tokens")
     rows = write_flat(docs, path, tokenizer)
-    return rows.join(scan_flat(docs.sparkSession, path), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "start")
+    if docs.isEmpty():
+        return rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "file", F.lit(0).cast("long").alias("start"))
+    found = scan_flat(spark, f"{path}/kind=tokens")
+    found = found.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "ordinal", "start", "n_tokens", "closed")
+    both = rows.withColumn("_row", F.lit(True)).join(found, ["file", "ordinal"], "full_outer")
+    sound = F.coalesce(F.col("_row") & F.col("closed"), F.lit(False))
+    n = F.when(sound, F.col("n_tokens")).otherwise(F.raise_error(F.lit("token files and documents do not match")).cast("long"))
+    return both.select("doc_id", n.alias("n_tokens"), "file", "start")
