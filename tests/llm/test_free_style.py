@@ -266,7 +266,7 @@ def test_rows_stay_told_apart_when_a_later_scan_is_split_otherwise(spark, tmp_pa
 
         return run
 
-    monkeypatch.setattr(simhash, "near_duplicates", lambda *a: again(lambda: near(*a).checkpoint())())
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **b: again(lambda: near(*a, **b).checkpoint())())
     monkeypatch.setattr(tokens, "scan_flat", again(scan))
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
@@ -310,19 +310,7 @@ def clustered(n, seed, spread):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("bands", "spread"), [(3, 6), (3, 14), (2, 8), (1, 6)])
-def test_tree_search_finds_all_links(bands, spread, monkeypatch):
-    monkeypatch.setattr(simhash, "BRUTE", 8)
-    points = clustered(500, bands, spread)
-    arr, edges = np.array(points, np.uint64), []
-    for mask in simhash.band_masks(simhash.ALL, bands):
-        tree = simhash.Tree(arr[::5], 3, mask)
-        which, shard, home = tree.shards(arr, 2 // bands)
-        assert home.sum() == len(arr)
-        for s in np.unique(shard):
-            own = shard == s
-            a, b = simhash.shard_links(arr[which[own]], home[own], mask, simhash.ALL, 2, 2 // bands)
-            edges += zip(a.tolist(), b.tolist(), strict=True)
+def joined(points, edges):
     up = {p: p for p in points}
 
     def root(x):
@@ -331,10 +319,38 @@ def test_tree_search_finds_all_links(bands, spread, monkeypatch):
         return x
 
     for a, b in edges:
-        assert bin(a ^ b).count("1") >= 1
         x, y = root(a), root(b)
         up[max(x, y)] = min(x, y)
-    assert {p: root(p) for p in points} == brute_components(points)
+    return {p: root(p) for p in points}
+
+
+@pytest.mark.parametrize(("radius", "spread"), [(2, 6), (2, 14), (2, 3), (1, 6), (3, 8)])
+def test_tree_search_finds_all_links(radius, spread, monkeypatch):
+    monkeypatch.setattr(simhash, "BRUTE", 8)
+    points = clustered(500, radius, spread)
+    arr, edges, asked = np.array(points, np.uint64), [], 0
+    for mask, near in zip(simhash.band_masks(), (radius - 1, 0), strict=True):
+        tree = simhash.Tree(arr[::3], mask, near, 3, 40)
+        which, shard, home = tree.shards(arr)
+        assert sorted(which[home].tolist()) == list(range(len(arr)))  # each is stored once
+        assert tree.leaves > 1 and (near > 0 or home.all())
+        asked += (~home).sum()
+        for s in np.unique(shard):
+            own = shard == s
+            a, b = simhash.shard_links(arr[which[own]], home[own], mask, near, radius)
+            edges += zip(a.tolist(), b.tolist(), strict=True)
+    assert (asked > 0) == (radius > 1)  # the boundaries overlap
+    assert joined(points, edges) == brute_components(points, radius)
+
+
+@pytest.mark.parametrize(("levels", "spread"), [(6, 8), (6, 3), (0, 5)])
+def test_links_of_many_shards_match_all_pairs(spark, levels, spread, monkeypatch):
+    for name, value in {"LEAF": 60, "SHARD": 50, "SUBSAMPLE": 40, "REDEALT": 3, "BRUTE": 8, "LEVELS": levels}.items():
+        monkeypatch.setattr(simhash, name, value)  # several shards, some parted anew or, with no levels, in a grid
+    points = clustered(300, levels + spread, spread)
+    df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in points], "fp long")
+    edges = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(df).collect()]
+    assert joined(points, edges) == brute_components(points)
 
 
 def test_near_duplicates_match_brute_force(spark, docs, tmp_path, monkeypatch):
