@@ -55,10 +55,6 @@ def bucket_of(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNull(), None).when(value < 0, -1).otherwise(halve(0, len(bounds)))
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def _coarse(value: Column) -> Column:
     """A coarse place of a BIGINT that never falls as the value rises: 64 steps to each doubling, some 8000 places in all."""
     v = F.when(value < 0, F.bitwise_not(value)).otherwise(value)
@@ -72,53 +68,68 @@ def rank_of(n: Column, num: int, den: int) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), F.least(n, floor_div(n.cast(_WIDE) * num + (den - 1), F.lit(den))))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, probes=PROBES) -> DataFrame:
-    """keys, num, den, value: the exact value at the nearest rank of each fraction, for each group.
+def _ranked(df: DataFrame, keys: list[str], value: str, probes, more: dict[str, Column]) -> DataFrame:
+    """keys, the group's sums, num, den, value: a row for each fraction, or one without any where no value is known.
 
-    No group is ever sorted whole. Values are first counted in coarse places (combined before the shuffle); running counts
-    over a group's places, some 8000 at most, tell where each rank falls. Only values in those places are then
-    counted one by one, and running counts over them give the answer.
+    ``df`` is read twice, whatever is asked. First its values are counted and summed in coarse places (combined before the
+    shuffle); running counts over a group's places, some 8000 at most, give the group's sums and tell where each rank falls.
+    Then the values of those places alone are counted one by one. No group is ever sorted whole.
     """
-    probes = [probe(*p) for p in probes]
-    d = df.where(F.col(value).isNotNull()).select(*keys, F.lit(0).alias("_all"), F.col(value).cast("bigint").alias("_v"), _coarse(F.col(value).cast("bigint")).alias("_p"))
+    v = F.col(value).cast("bigint")
+    d = df.select(*keys, F.lit(0).alias("_all"), v.alias("_v"), _coarse(v).alias("_p"), *[c.cast("bigint").alias(f"_c_{k}") for k, c in more.items()])
     group = [*keys, "_all"]
-    places = d.groupBy(*group, "_p").agg(F.count("*").alias("_n"))
+    counters = [F.sum(f"_c_{k}").alias(f"_c_{k}") for k in more]
+    places = d.groupBy(*group, "_p").agg(F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), wide_sum(F.col("_v")).alias("_s"), *counters)
     upto, whole = W.partitionBy(*group).orderBy("_p"), W.partitionBy(*group)
-    places = places.select("*", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("_total"))
-    ranks = F.array(*[F.struct(F.lit(n).alias("num"), F.lit(m).alias("den"), rank_of(F.col("_total"), n, m).alias("rank")) for n, m in probes])
-    targets = places.select(*group, "_p", F.explode(F.filter(ranks, lambda r: (r["rank"] > F.col("_before")) & (r["rank"] <= F.col("_before") + F.col("_n")))).alias("r"), "_before")
-    targets = targets.select(*group, "_p", "r.num", "r.den", (F.col("r.rank") - F.col("_before")).alias("_rank"))
-    hot = targets.select(*group, "_p").distinct()
-    values = d.join(hot, same(d, hot, [*group, "_p"]), "left_semi").groupBy(*group, "_p", "_v").agg(F.count("*").alias("_n"))
+    totals = {"n": F.sum("_n"), "min": F.min("_min"), "max": F.max("_max"), "s": F.sum("_s")} | {f"c_{k}": F.sum(f"_c_{k}") for k in more}
+    places = places.select(*group, "_p", "_n", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), *[c.over(whole).alias(f"_t_{k}") for k, c in totals.items()])
+    ranks = F.array(*[F.struct(F.lit(n).alias("num"), F.lit(m).alias("den"), (rank_of(F.col("_t_n"), n, m) - F.col("_before")).alias("rank")) for n, m in probes])
+    hot = places.select(*group, "_p", *[f"_t_{k}" for k in totals], F.filter(ranks, lambda r: (r["rank"] > 0) & (r["rank"] <= F.col("_n"))).alias("_ranks"))
+    hot = hot.where((F.size("_ranks") > 0) | (F.col("_t_n") == 0))
+    place = [*group, "_p"]
+    again = d.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(place)], "_v")  # names of their own: it meets what is made from it
+    agree = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(place)])
+    met = again.join(hot, agree).select(*hot.columns, "_v")
+    values = met.groupBy(*hot.columns, "_v").agg(F.count("*").alias("_n"))
     values = values.withColumn("_to", F.sum("_n").over(W.partitionBy(*group, "_p").orderBy("_v")))
-    found = values.join(targets, same(values, targets, [*group, "_p"]) & (targets["_rank"] <= values["_to"]) & (targets["_rank"] > values["_to"] - values["_n"]))
-    return found.select(*[values[k] for k in keys], "num", "den", F.col("_v").alias("value"))
+    here = F.filter("_ranks", lambda r: (r["rank"] <= F.col("_to")) & (r["rank"] > F.col("_to") - F.col("_n")))
+    told = values.where((F.col("_t_n") == 0) | (F.size(here) > 0))
+    return told.select(*keys, *[f"_t_{k}" for k in totals], F.col("_v").alias("value"), F.explode_outer(here).alias("_r")).select("*", "_r.num", "_r.den").drop("_r")
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, probes=PROBES) -> DataFrame:
+    """keys, num, den, value: the exact value at the nearest rank of each fraction, for each group that has values."""
+    found = _ranked(df, keys, value, [probe(*p) for p in probes], {})
+    return found.where("num IS NOT NULL").select(*keys, "num", "den", "value")
 
 
 def quantile_columns(probes=PROBES) -> list[str]:
     return [f"p{n * 100 // d}" if n * 100 % d == 0 else f"p{n}_{d}" for n, d in probes]
 
 
-def distribution(df: DataFrame, keys: list[str], value: str, probes=PROBES) -> DataFrame:
-    """keys, n, min_ns, max_ns, sum_ns, sum_overflow, mean_ns, remainder_ns and one column for each fraction.
+def distribution(df: DataFrame, keys: list[str], value: str, probes=PROBES, more: dict[str, Column] | None = None) -> DataFrame:
+    """keys, n, min_ns, max_ns, sum_ns, sum_overflow, mean_ns, remainder_ns, one column for each fraction, and those of ``more``.
 
-    n counts known values. Groups without any have n 0 and NULL elsewhere.
+    n counts known values. Groups without any have n 0 and NULL elsewhere. ``more`` are whole numbers to be summed beside the
+    values, so that a group's counters need no scan of their own. One scan of ``df`` without fractions, two with any.
     """
-    v = F.col(value).cast("bigint")
-    sums = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min_ns"), F.max(v).alias("max_ns"), wide_sum(v).alias("_s"))
+    more, v = more or {}, F.col(value).cast("bigint")
+    names, picks = quantile_columns(probes), []
+    if probes:
+        pairs = [probe(*p) for p in probes]
+        picks = [F.max(F.when((F.col("num") == n) & (F.col("den") == d), F.col("value"))).alias(c) for (n, d), c in zip(pairs, names, strict=True)]
+        df = _ranked(df, keys, value, pairs, more)
+        sums = {"n": F.coalesce(F.first("_t_n"), F.lit(0).cast("bigint")), "min_ns": F.first("_t_min"), "max_ns": F.first("_t_max"), "_s": F.first("_t_s")}
+        counts = {k: F.first(f"_t_c_{k}") for k in more}
+    else:
+        sums, counts = {"n": F.count(v), "min_ns": F.min(v), "max_ns": F.max(v), "_s": wide_sum(v)}, {k: F.sum(c.cast("bigint")) for k, c in more.items()}
+    sums = df.groupBy(*keys).agg(*[c.alias(k) for k, c in (sums | counts).items()], *picks)
     total = fits(F.col("_s"))
     overflow = F.col("_s").isNotNull() & total.isNull()
-    out = sums.select(
+    none = F.lit(0).cast("bigint")
+    return sums.select(
         *keys, "n", "min_ns", "max_ns", total.alias("sum_ns"), overflow.alias("sum_overflow"),
         F.when(~overflow, floor_div(F.col("_s"), F.col("n"))).alias("mean_ns"),
-        F.when(overflow | (F.col("n") == 0), F.lit(0).cast("bigint")).otherwise(remainder(F.col("_s").try_cast("decimal(20,0)"), F.col("n"))).alias("remainder_ns"),
+        F.when(overflow | (F.col("n") == 0), none).otherwise(remainder(F.col("_s").try_cast("decimal(20,0)"), F.col("n"))).alias("remainder_ns"),
+        *names, *more,
     )
-    if not probes:
-        return out
-    names = quantile_columns(probes)
-    long = nearest_rank(df, keys, value, probes)
-    pick = [F.max(F.when((F.col("num") == n) & (F.col("den") == d), F.col("value"))).alias(c) for (n, d), c in zip(probes, names, strict=True)]
-    if not keys:
-        return out.crossJoin(long.agg(*pick))  # one row each
-    wide = long.groupBy(*keys).agg(*pick)
-    return out.join(wide, same(out, wide, keys), "left").select(*[out[c] for c in out.columns], *names)

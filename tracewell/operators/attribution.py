@@ -4,10 +4,139 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import fits, floor_div, ppm, wide_sum
-from ..plans.policy import DEFAULT, Policy
+from ..functions.numeric import distribution, fits, floor_div, ppm, wide_sum
+from ..plans.policy import DEFAULT, PROBES, Policy
+from . import clocks
 from .summary import spine
 
+#: Reasons that say that a comparison across clocks was impossible, refused or contradictory.
+CLOCK_REASONS = (
+    "incomparable_clocks", "clock_offset_unavailable", "clock_unsynced", "clock_sync_expired", "clock_uncertainty_exceeded",
+    "clock_reference_mismatch", "clock_domain_missing",
+)
+
+
+def gates(exchanges: DataFrame, reports: DataFrame, hops: int, policy: Policy = DEFAULT) -> DataFrame:
+    """exchanges with clock_reasons (sorted), gated_hops (sorted positions) and clocks_refused: what its clocks don't permit.
+
+    ``hops`` of an exchange hold entry_domain, state (rank) and reason beside the dwells. The exchange's own domain must be
+    comparable with the reference, and the entry domain of each hop with a dwell with the exchange's, at the time of receipt.
+    A hop without a dwell whose evidence is refused, conflicting or a clock's counts as a refusal too.
+
+    Only pairs of different domains are looked up, and only what fails is joined back to its exchange.
+    """
+    hop = lambda i: F.try_element_at("hops", i)
+    pair = lambda i, left, right: F.struct(i.cast("int").alias("index"), left.alias("left_domain"), right.alias("right_domain"))
+    places = F.sequence(F.lit(0), F.lit(hops - 1))
+    timed = F.filter(places, lambda i: hop(i)["dwell_ns"].isNotNull())
+    pairs = F.concat(
+        F.array(pair(F.lit(-1), F.col("domain"), F.lit(policy.reference_domain))),
+        F.transform(timed, lambda i: pair(i, hop(i)["entry_domain"], F.col("domain"))),
+    )
+    apart = F.filter(pairs, lambda p: ~p["left_domain"].eqNullSafe(p["right_domain"]))
+    bound = [c for c in clocks.BINDINGS if c in exchanges.columns]
+    asked = exchanges.select("exchange_id", "received_ns", *bound, F.explode(apart).alias("_p")).select("exchange_id", "received_ns", *bound, "_p.*")
+    failed = clocks.compare(asked, reports, F.col("received_ns"), policy=policy).where(F.col("verdict") != clocks.OK)
+    failed = failed.groupBy("exchange_id").agg(
+        F.sort_array(F.collect_set("reason")).alias("clock_reasons"),
+        F.sort_array(F.collect_set(F.when(F.col("index") >= 0, F.col("index")))).alias("gated_hops"),
+    )
+    out = exchanges.join(failed, "exchange_id", "left")
+    blocked = F.filter(places, lambda i: hop(i).isNotNull() & hop(i)["dwell_ns"].isNull())
+    told = F.exists(blocked, lambda i: hop(i)["state"].isin(4, 7) | F.coalesce(hop(i)["reason"].isin(*CLOCK_REASONS), F.lit(False)))
+    refused = F.col("clock_reasons").isNotNull() | F.coalesce(F.col("hops").isNotNull() & told, F.lit(False))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return out.select(
+        *exchanges.columns,
+        F.coalesce("clock_reasons", none("string")).alias("clock_reasons"),
+        F.coalesce("gated_hops", none("int")).alias("gated_hops"),
+        refused.alias("clocks_refused"),
+    )
+
+
+def gated_accounts(gated: DataFrame, hops: int, keep: list[str]) -> DataFrame:
+    """:func:`accounts` of gated exchanges, of which one with any failed comparison is not complete; overflowed tells sums that don't fit.
+
+    Keeps clock_reasons, gated_hops, clocks_refused, hops and exchange_id too.
+    """
+    own = ["clock_reasons", "gated_hops", "clocks_refused", "hops"]
+    rows = accounts(gated, hops, [*keep, *own])
+    free = F.size("clock_reasons") == 0
+    whole = F.col("complete") & free
+    overflowed = free & (F.col("known_hops") == hops) & (F.col("rtt_ns") >= 0) & ~F.col("complete")
+    return rows.select(
+        *keep, *own, "rtt_ns", "known_hops", F.when(whole, F.col("accounted_ns")).alias("accounted_ns"),
+        F.when(whole, F.col("residual_ns")).alias("residual_ns"), whole.alias("complete"), overflowed.alias("overflowed"),
+    )
+
+
+def distributions(accounted: DataFrame, hops: int, keys: list[str], probes=PROBES) -> DataFrame:
+    """keys, measure (end_to_end, residual, dwell, queue_dwell), hop_index (-1 for the whole) and the exact distribution over
+    complete exchanges (of :func:`gated_accounts`)."""
+    value = lambda name, i, v: F.struct(F.lit(name).alias("measure"), i.cast("int").alias("hop_index"), v.cast("bigint").alias("value"))
+    whole = F.array(value("end_to_end", F.lit(-1), F.col("rtt_ns")), value("residual", F.lit(-1), F.col("residual_ns")))
+    places = F.sequence(F.lit(0), F.lit(hops - 1))
+    of = lambda name, field: F.transform(places, lambda i: value(name, i, F.try_element_at("hops", i)[field]))
+    own = [of("dwell", "dwell_ns"), of("queue_dwell", "queue_dwell_ns")]
+    rows = accounted.where("complete").select(*keys, F.explode(F.concat(whole, *own)).alias("_v")).select(*keys, "_v.*")
+    return distribution(rows, [*keys, "measure", "hop_index"], "value", probes)
+
+
+def gated_contributions(accounted: DataFrame, verdicts: DataFrame, hops: int, keys: list[str]) -> DataFrame:
+    """keys, hop_index, observed, missing, sums, means, uncertainty_ns, coverage_ppm, share_ppm, hop_state of each position.
+
+    observed counts complete exchanges, missing those without a dwell; the uncertainty is the largest of any dwell that its
+    clocks permit. A refused or unsupported verdict publishes no share.
+    """
+
+    def at(i: Column) -> Column:
+        hop = F.try_element_at("hops", i)
+        free = ~F.array_contains("gated_hops", i.cast("int"))
+        return F.struct(
+            hop["dwell_ns"].isNull().alias("lacking"), F.when(F.col("complete"), hop["dwell_ns"]).alias("dwell_ns"),
+            F.when(F.col("complete"), hop["queue_dwell_ns"]).alias("queue_dwell_ns"), F.when(free & hop["dwell_ns"].isNotNull(), hop["uncertainty_ns"]).alias("uncertainty_ns"),
+        )
+
+    rows = accounted.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(hops - 1)), at)).alias("hop_index", "_h")).select(*keys, "hop_index", "_h.*")
+    by = rows.groupBy(*keys, "hop_index").agg(
+        F.count("dwell_ns").alias("observed"), F.count_if("lacking").alias("missing"), wide_sum(F.col("dwell_ns")).alias("_s"),
+        wide_sum(F.col("queue_dwell_ns")).alias("_q"), F.count("queue_dwell_ns").alias("_nq"), F.max("uncertainty_ns").alias("uncertainty_ns"),
+    )
+    totals = by.groupBy(*keys).agg(F.sum("_s").alias("_all"))
+    joined = by.join(totals, keys).join(verdicts.select(*keys, "kind"), keys)
+    told = F.col("kind").isin("partial", "observed_decomposition")
+    share = F.when(told & (F.coalesce("_all", F.lit(0)) > 0), ppm(F.coalesce("_s", F.lit(0)), F.col("_all"))).otherwise(F.lit(0).cast("bigint"))
+    state = F.when(F.col("observed") == 0, "unknown").when(F.col("missing") > 0, "incomplete").otherwise("observed")
+    return joined.select(
+        *keys, "hop_index", "observed", "missing", fits(F.col("_s")).alias("sum_ns"), floor_div(F.col("_s"), F.col("observed")).alias("mean_ns"),
+        floor_div(F.col("_q"), F.col("_nq")).alias("queue_mean_ns"), "uncertainty_ns", ppm(F.col("observed"), F.col("observed") + F.col("missing")).alias("coverage_ppm"),
+        share.alias("share_ppm"), state.alias("hop_state"),
+    )
+
+
+def verdict_reasons(accounted: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, kind, reasons (sorted names): why each verdict is what it is; no_causal_inference is always among them."""
+    seen = accounted.groupBy(*keys).agg(
+        F.array_distinct(F.flatten(F.collect_set("clock_reasons"))).alias("_clock"),
+        F.bool_or("overflowed").alias("_over"),
+        fits(wide_sum(F.when(F.col("complete"), F.col("rtt_ns")))).isNull().alias("_unfit"),
+    )
+    j = verdicts.join(seen, keys)
+    kind, lit = F.col("kind"), F.lit
+    told = kind.isin("partial", "observed_decomposition")
+    partly = (kind == "partial") | (kind == "refused") & (F.size("_clock") == 0) & ~F.col("clocks_refused") & (F.col("complete") > 0) & (F.col("incomplete") > 0)
+    short = (kind == "refused") & ~F.col("clocks_refused") & (F.col("complete") == 0)
+    found = [
+        F.when(F.col("included") == 0, "no_samples"), F.when(kind == "unsupported", "semantics_unsupported"),
+        F.when(partly, "partial_coverage"), F.when(partly | short, "non_tiling_coverage"), F.when(partly & (kind == "refused"), "refused_by_policy"),
+        F.when(told, F.col("residual_reading")), F.when(kind == "observed_decomposition", "attribution_complete"), F.when(kind == "partial", "attribution_partial"),
+        F.when(F.col("negative_residuals") > 0, "hop_overlap"), F.when(F.col("_over") | F.col("_unfit") & (F.col("complete") > 0), "arithmetic_overflow"),
+        lit("no_causal_inference"),
+    ]
+    own = F.array_compact(F.array(*found))
+    every = F.when(kind == "refused", F.concat(own, "_clock")).otherwise(own)
+    return j.select(*keys, "kind", F.array_sort(F.array_distinct(every)).alias("reasons"))
+
 
 def accounts(exchanges: DataFrame, hops: int, keep: list[str]) -> DataFrame:
     """keep, rtt_ns, known_hops, accounted_ns, residual_ns, complete: one row per exchange, computed inside its row.
@@ -63,11 +192,11 @@ def verdict(accounted: DataFrame, keys: list[str], policy: Policy = DEFAULT, clo
     )
     out = sums.withColumn("kind", kind)
     told = F.col("kind").isin("partial", "observed_decomposition")
-    mean = floor_div(F.col("_e2e"), F.col("complete"))
+    mean = F.when(fits(F.col("_e2e")).isNotNull(), floor_div(F.col("_e2e"), F.col("complete")))  # a sum that doesn't fit has no mean
     acc = F.when(told & (F.col("_acc") != 0), floor_div(F.col("_acc"), F.col("complete")))
     rest = F.try_subtract(mean, acc)
     reading = F.when(rest.isNull(), None).when(F.abs(rest) <= policy.residual_tolerance_ns, "residual_within_tolerance").otherwise("unaccounted_residual")
     return out.select(
         *keys, "included", "complete", "incomplete", "kind", mean.alias("e2e_mean_ns"), floor_div(F.col("_res"), F.col("complete")).alias("residual_mean_ns"), "residual_min_ns", "residual_max_ns", "negative_residuals",
-        acc.alias("accounted_mean_ns"), rest.alias("unaccounted_mean_ns"), reading.alias("residual_reading"),
+        acc.alias("accounted_mean_ns"), rest.alias("unaccounted_mean_ns"), reading.alias("residual_reading"), F.col("_refused").alias("clocks_refused"),
     )

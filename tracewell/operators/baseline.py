@@ -15,8 +15,13 @@ STATISTICS = ("n", "min_ns", "max_ns", "sum_ns", "mean_ns", "p99")
 
 def create(exchanges: DataFrame, name: str, created_ns: Column, keys: tuple[str, ...] = ("path", "generation", "domain"), probes=((99, 100),)) -> DataFrame:
     """A baseline of revision 1 for each group that holds records: baseline_id, keys, name, revision, created_ns, statistics."""
-    d = distribution(exchanges, list(keys), "rtt_ns", probes).where("n > 0")
+    return of_statistics(distribution(exchanges, list(keys), "rtt_ns", probes), name, created_ns, keys)
+
+
+def of_statistics(statistics: DataFrame, name: str, created_ns: Column, keys: tuple[str, ...] = ("path", "generation", "domain")) -> DataFrame:
+    """Baselines of groups whose distribution is at hand."""
     identity = fnv1a64(F.concat_ws("|", F.lit("baseline"), *keys, F.lit("1"), F.lit(name)))
+    d = statistics.where("n > 0")
     return d.select(identity.alias("baseline_id"), *keys, F.lit(name).alias("name"), F.lit(1).alias("revision"), created_ns.cast("bigint").alias("created_ns"), *STATISTICS)
 
 

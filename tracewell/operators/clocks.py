@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.policy import DEFAULT, Policy
 
+#: What a report may be bound to, in the order in which it is checked.
+BINDINGS = ("generation", "epoch", "incarnation")
 OK, REFUSED, UNKNOWN, CONFLICTING, STALE = "comparable", "refused", "unknown", "conflicting", "stale"
 
 
@@ -16,13 +18,15 @@ def latest(reports: DataFrame) -> DataFrame:
     return best.select("domain", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def _single(side: str, now: Column, policy: Policy) -> Column:
+def _single(side: str, now: Column, policy: Policy, bound: list[str]) -> Column:
     """Why one side cannot be compared with its reference: (verdict:reason), NULL where it can."""
     c = lambda name: F.col(f"{side}_{name}")
     age = now - c("observed_ns")
     out = F.when(c("sync_state").isNull(), f"{UNKNOWN}:clock_offset_unavailable").when(~c("sync_state").isin("synchronized", "holdover"), f"{REFUSED}:clock_unsynced")
     if not policy.allow_holdover:
         out = out.when(c("sync_state") == "holdover", f"{REFUSED}:clock_holdover")
+    for name in bound:
+        out = out.when(c(name) != F.col(name), f"{CONFLICTING}:clock_sync_{name}_mismatch")
     return out.when(age < 0, f"{CONFLICTING}:clock_offset_unavailable").when(age > c("valid_for_ns"), f"{STALE}:clock_sync_expired")
 
 
@@ -37,9 +41,9 @@ def attach(pairs: DataFrame, reports: DataFrame, left: str, right: str) -> DataF
     One report per domain: a dimension. Whether it is broadcast is left to its size at run time.
     """
     now = latest(reports)
-    out = pairs
+    out, own = pairs, ["reference", "sync_state", "offset_ns", "uncertainty_ns", "valid_for_ns", "observed_ns", *[c for c in BINDINGS if c in reports.columns]]
     for side, key in (("a", left), ("b", right)):
-        named = now.select(F.col("domain").alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in ("reference", "sync_state", "offset_ns", "uncertainty_ns", "valid_for_ns", "observed_ns")])
+        named = now.select(F.col("domain").alias(f"_{side}"), *[F.col(c).alias(f"{side}_{c}") for c in own])
         out = out.join(named, out[key] == named[f"_{side}"], "left").drop(f"_{side}")
     return out
 
@@ -48,15 +52,17 @@ def compare(pairs: DataFrame, reports: DataFrame, now: Column, left: str = "left
     """pairs with verdict, reason, left_offset_ns, right_offset_ns, uncertainty_ns and confidence (rank).
 
     Decided in order: a missing domain; the same domain (comparable without any report); the left side's own report, then the
-    right's; one common reference; the sum of uncertainties within the policy's ceiling.
+    right's; one common reference; the sum of uncertainties within the policy's ceiling. A report that names a generation,
+    epoch or incarnation holds for pairs of that one only, where the pairs have such a column.
     """
+    bound = [c for c in BINDINGS if c in reports.columns and c in pairs.columns]
     a, b, ref = F.col(left), F.col(right), F.lit(policy.reference_domain)
     joined = attach(pairs, reports, left, right)
     a_ref, b_ref = a == ref, b == ref
     total = F.try_add(F.when(a_ref, 0).otherwise(F.col("a_uncertainty_ns")).cast("bigint"), F.when(b_ref, 0).otherwise(F.col("b_uncertainty_ns")).cast("bigint"))
     one = a_ref | b_ref
     mismatch = F.when(a_ref, F.col("b_reference") != ref).when(b_ref, F.col("a_reference") != ref).otherwise(F.col("a_reference") != F.col("b_reference"))
-    bad = F.coalesce(F.when(~a_ref, _single("a", now, policy)), F.when(~b_ref, _single("b", now, policy)), F.when(mismatch, f"{CONFLICTING}:clock_reference_mismatch"), F.when(total.isNull() | (total > policy.max_clock_uncertainty_ns), f"{REFUSED}:clock_uncertainty_exceeded"))
+    bad = F.coalesce(F.when(~a_ref, _single("a", now, policy, bound)), F.when(~b_ref, _single("b", now, policy, bound)), F.when(mismatch, f"{CONFLICTING}:clock_reference_mismatch"), F.when(total.isNull() | (total > policy.max_clock_uncertainty_ns), f"{REFUSED}:clock_uncertainty_exceeded"))
     why = F.when(a.isNull() | b.isNull(), f"{UNKNOWN}:clock_domain_missing").when(a == b, f"{OK}:clock_self_comparable").otherwise(F.coalesce(bad, F.lit(f"{OK}:clock_comparable")))
     joined = joined.withColumn("_why", why)
     good, own = F.split_part("_why", F.lit(":"), F.lit(1)) == OK, a == b

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.evidence import merged_state, usable
-from ..functions.numeric import bucket_of, distribution, floor_div, ppm, same
+from ..functions.numeric import bucket_of, distribution, floor_div, ppm
 from ..plans.policy import DEFAULT, PROBES, REFERENCE_DOMAIN, Policy, check_bounds
 
 #: Classes of a record, in the order in which they are decided.
@@ -51,12 +51,20 @@ def included(exchanges: DataFrame, r: Request) -> DataFrame:
     return plain.where(record_class(r) == "included")
 
 
-def class_counts(exchanges: DataFrame, r: Request) -> DataFrame:
-    """considered (every record) and one counter for each class; records of other sources count as of another path."""
-    c = record_class(r)
-    n = {k: F.count_if(c == k) for k in CLASSES}
-    n["other_path"] = n["other_path"] + n.pop("other_source")
-    return exchanges.agg(F.count("*").alias("considered"), *[v.alias(k) for k, v in n.items()])
+def class_counts(exchanges: DataFrame, r: Request, modes: tuple[str, ...] | None = None) -> DataFrame:
+    """considered (every record) and one counter for each class; records of other sources count as of another path.
+
+    With ``modes`` a row for each, counted in the same scan.
+    """
+    asked = modes or (r.mode,)
+    every = []
+    for mode in asked:
+        c = record_class(replace(r, mode=mode))
+        n = {k: F.count_if(c == k) for k in CLASSES}
+        n["other_path"] = n["other_path"] + n.pop("other_source")
+        every.append(F.struct(F.lit(mode).alias("mode"), F.count("*").alias("considered"), *[v.alias(k) for k, v in n.items()]))
+    rows = exchanges.agg(F.array(*every).alias("_rows")).select(F.explode("_rows").alias("_r")).select("_r.*")
+    return rows if modes else rows.drop("mode")
 
 
 def summarize(exchanges: DataFrame, keys: list[str], probes=PROBES) -> DataFrame:
@@ -86,23 +94,33 @@ def histogram(df: DataFrame, keys: list[str], value: str, bounds: list[int]) ->
 def spine(exchanges: DataFrame, hops: int, keep: list[str]) -> DataFrame:
     """keep, hop_index, dwell_ns, queue_dwell_ns, observed: a row for every position of the path, whether observed or not.
 
-    The hops travel inside their record, so positions are looked up in place: no join.
+    The hops travel inside their record, so positions are looked up in place: no join, and a row carries its own hop only.
     """
-    rows = exchanges.select(*keep, "hops", F.explode(F.sequence(F.lit(0), F.lit(hops - 1))).alias("hop_index"))
-    hop = F.try_element_at("hops", F.col("hop_index"))
-    return rows.select(*keep, "hop_index", hop["dwell_ns"].alias("dwell_ns"), hop["queue_dwell_ns"].alias("queue_dwell_ns"), hop.isNotNull().alias("observed"))
+
+    def at(i: Column) -> Column:
+        hop = F.try_element_at("hops", i)
+        return F.struct(hop["dwell_ns"].alias("dwell_ns"), hop["queue_dwell_ns"].alias("queue_dwell_ns"), hop.isNotNull().alias("observed"))
+
+    places = F.transform(F.sequence(F.lit(0), F.lit(hops - 1)), at)
+    rows = exchanges.select(*keep, F.posexplode(places).alias("hop_index", "_hop"))
+    return rows.select(*keep, "hop_index", "_hop.*").withColumn("observed", F.coalesce("observed", F.lit(False)))
 
 
 def hop_summary(exchanges: DataFrame, keys: list[str], hops: int, probes=()) -> DataFrame:
     """For each group and hop: counters, coverage in ppm, state and the exact distribution of known dwells."""
     rows = spine(exchanges, hops, keys)
     by = [*keys, "hop_index"]
-    known = F.count("dwell_ns")
-    counts = rows.groupBy(*by).agg(F.count("*").alias("exchanges"), known.alias("observed"), F.count_if(F.col("dwell_ns").isNull()).alias("missing"), F.count("queue_dwell_ns").alias("queue_observed"), F.count_if(F.col("observed") & F.col("queue_dwell_ns").isNull()).alias("queue_unknown"))
-    dist = distribution(rows, by, "dwell_ns", probes)
+    more = {
+        "exchanges": F.lit(1),
+        "missing": F.col("dwell_ns").isNull().cast("int"),
+        "queue_observed": F.col("queue_dwell_ns").isNotNull().cast("int"),
+        "queue_unknown": (F.col("observed") & F.col("queue_dwell_ns").isNull()).cast("int"),
+    }
+    d = distribution(rows, by, "dwell_ns", probes, more).withColumnRenamed("n", "observed")
     state = F.when(F.col("observed") == 0, "missing").when(F.col("missing") > 0, "incomplete").otherwise("observed")
-    joined = counts.join(dist, same(counts, dist, by))
-    return joined.select(*[counts[c] for c in counts.columns], ppm(F.col("observed"), F.col("exchanges")).alias("coverage_ppm"), state.alias("hop_state"), *[dist[c] for c in dist.columns if c not in [*by, "n"]])
+    counts = ["exchanges", "observed", "missing", "queue_observed", "queue_unknown"]
+    rest = [c for c in d.columns if c not in [*by, *counts]]
+    return d.select(*by, *counts, ppm(F.col("observed"), F.col("exchanges")).alias("coverage_ppm"), state.alias("hop_state"), *rest)
 
 
 def undeclared_hops(hop_obs: DataFrame, exchanges: DataFrame, hops: int) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import evidence as ev, identity, numeric
 from ..operators import admission, attribution, baseline, catalog, clocks, export, summary
 from ..sources import store, synthetic, views
 from ..streaming import fences
-from . import oracles
+from . import oracles, oracles_gates
 from .policy import DEFAULT, PROBES, Policy, default_bounds
 
 QUERIES: dict = {}
@@ -67,9 +67,7 @@ def summary_of_request(spark, sf_dir):
 
 @query
 def record_class_counts(spark, sf_dir):
-    o = _orders(spark, sf_dir, False)
-    both = [summary.class_counts(o, summary.Request(REQUEST.path, REQUEST.generation, Y1996, Y1999, m)).select(F.lit(m).alias("mode"), "*") for m in ("current", "historical")]
-    return catalog.union_of(both)
+    return summary.class_counts(_orders(spark, sf_dir, False), REQUEST, ("current", "historical"))
 
 
 @query
@@ -289,10 +287,6 @@ def admission_bounds(spark, sf_dir):
 # ---- baselines ---------------------------------------------------------------------------------------------------------
 
 
-def _year(spark, sf_dir, generation):
-    return _orders(spark, sf_dir, False).where(F.col("generation") == generation)
-
-
 def _baselines(spark, sf_dir):
     return baseline.create(_orders(spark, sf_dir, False), "yearly", F.lit(NOW - 5_000_000_000))
 
@@ -315,12 +309,21 @@ def baseline_latest(spark, sf_dir):
     return baseline.latest(b, generation="gen.1997").select("path", "domain", "baseline_id", "n", "mean_ns", "other_generation_only")
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """A small result computed once into the shared folder, for a query that reads it several times."""
+    path = _folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _compared(spark, sf_dir):
-    now = summary.summarize(_orders(spark, sf_dir, False), ["path", "generation", "domain"], ((99, 100),))
-    named = _baselines(spark, sf_dir).where("generation = 'gen.1996'").select("baseline_id", F.col("path").alias("_p"), F.col("domain").alias("_d"))
+    now = _once(summary.summarize(_orders(spark, sf_dir, False), ["path", "generation", "domain"], ((99, 100),)))
+    stored = baseline.of_statistics(now, "yearly", F.lit(NOW - 5_000_000_000))
+    named = stored.where("generation = 'gen.1996'").select("baseline_id", F.col("path").alias("_p"), F.col("domain").alias("_d"))
     pairs = now.join(named, (F.col("path") == F.col("_p")) & (F.col("domain") == F.col("_d")), "left").withColumn("baseline_id", F.when(F.col("generation") != "gen.1999", F.col("baseline_id")))
     pairs = pairs.withColumn("generation", F.when(F.col("generation") == "gen.1997", "gen.1996").otherwise(F.col("generation")))
-    return baseline.compare(pairs.select("path", "generation", "domain", "n", "min_ns", "max_ns", "mean_ns", "p99", "baseline_id"), _baselines(spark, sf_dir), "baseline_id", F.lit(NOW), Policy(watch_ns=100, elevated_ns=100_000))
+    own = pairs.select("path", "generation", "domain", "n", "min_ns", "max_ns", "mean_ns", "p99", "baseline_id")
+    return baseline.compare(own, stored, "baseline_id", F.lit(NOW), Policy(watch_ns=100, elevated_ns=100_000))
 
 
 @query
@@ -335,8 +338,10 @@ def baseline_mismatches(spark, sf_dir):
 
 @query
 def anomaly_classes(spark, sf_dir):
-    hop = lambda g: summary.hop_summary(_orders(spark, sf_dir).where(F.col("generation") == g), ["path"], views.HOPS).select("path", "hop_index", F.col("observed").alias("n"), "mean_ns")
-    return baseline.anomalies(hop("gen.1998"), hop("gen.1997"), ["path", "hop_index"], Policy(watch_ns=20_000, elevated_ns=200_000))
+    both = _orders(spark, sf_dir).where(F.col("generation").isin("gen.1998", "gen.1997"))
+    hops = _once(summary.hop_summary(both, ["generation", "path"], views.HOPS).select("generation", "path", "hop_index", F.col("observed").alias("n"), "mean_ns"))
+    of = lambda g: hops.where(F.col("generation") == g)
+    return baseline.anomalies(of("gen.1998"), of("gen.1997"), ["path", "hop_index"], Policy(watch_ns=20_000, elevated_ns=200_000))
 
 
 # ---- attribution -------------------------------------------------------------------------------------------------------
@@ -354,7 +359,8 @@ def attribution_hops(spark, sf_dir):
 
 def _attributed(spark, sf_dir, policy):
     a = attribution.accounts(_orders(spark, sf_dir), 2, ["path", "generation", "domain", "source"])
-    return attribution.verdict(a, ["path", "generation"], policy, clocks_refused=(F.col("domain") != "reference") & (F.col("generation") == "gen.1998"), supported=F.col("source") == "src.3")
+    found = attribution.verdict(a, ["path", "generation"], policy, clocks_refused=(F.col("domain") != "reference") & (F.col("generation") == "gen.1998"), supported=F.col("source") == "src.3")
+    return found.drop("clocks_refused")
 
 
 @query
@@ -367,6 +373,63 @@ def attribution_partial(spark, sf_dir):
     return _attributed(spark, sf_dir, Policy(allow_partial=True, residual_tolerance_ns=5_000_000))
 
 
+Y1992 = 694_224_000 * 10**9
+PAIRED = ["path", "generation"]
+
+
+def _gated(spark, sf_dir):
+    """Orders whose hops name entry clocks, evidence and uncertainties, gated by the reports of the clocks."""
+    k = F.col("exchange_id")
+    far = F.when(F.col("generation") == "gen.1994", (k % 100 + 1).cast("string")).when(F.col("generation") == "gen.1997", "4")
+
+    def hop(i, h):
+        known = (k + i) % 41 != 5
+        return F.struct(
+            F.when(known, h["dwell_ns"]).alias("dwell_ns"),
+            h["queue_dwell_ns"].alias("queue_dwell_ns"),
+            F.when((k + i) % 5 == 2, F.coalesce(far, F.col("domain"))).otherwise(F.col("domain")).alias("entry_domain"),
+            F.when(known, 0).when(F.col("generation") == "gen.1996", 7).otherwise(6).alias("state"),
+            F.when(~known & (F.col("generation") == "gen.1995"), "clock_unsynced").alias("reason"),
+            (k % 7 * 10 + i).alias("uncertainty_ns"),
+        )
+
+    domain = F.when(F.col("generation") != "gen.1993", "reference").otherwise(F.col("domain"))
+    o = _orders(spark, sf_dir).where("state = 0").withColumn("domain", domain).withColumn("hops", F.transform_values("hops", hop))
+    reports = views.clock_reports(spark, sf_dir, Y1992).withColumn("valid_for_ns", F.when(F.col("valid_for_ns") > 1, F.lit(10**18)).otherwise(F.col("valid_for_ns")))
+    return attribution.gates(o, reports, 2)
+
+
+def _accounted(spark, sf_dir):
+    return attribution.gated_accounts(_gated(spark, sf_dir), 2, ["exchange_id", *PAIRED, "source"])
+
+
+def _verdicts(accounted):
+    return attribution.verdict(accounted, PAIRED, Policy(allow_partial=True), clocks_refused=F.col("clocks_refused"), supported=F.col("source") == "src.3")
+
+
+@query
+def attribution_gates(spark, sf_dir):
+    g = _accounted(spark, sf_dir)
+    return g.select("exchange_id", F.array_join("clock_reasons", ",").alias("clock_reasons"), F.array_join("gated_hops", ",").alias("gated_hops"), "clocks_refused", "complete", "residual_ns")
+
+
+@query
+def attribution_distributions(spark, sf_dir):
+    return attribution.distributions(_accounted(spark, sf_dir), 2, PAIRED, ((50, 100), (99, 100))).drop("sum_overflow")
+
+
+@query
+def attribution_contributions(spark, sf_dir):
+    a = _accounted(spark, sf_dir)
+    return attribution.gated_contributions(a, _verdicts(a), 2, PAIRED)
+
+
+@query
+def attribution_reasons(spark, sf_dir):
+    a = _accounted(spark, sf_dir)
+    return attribution.verdict_reasons(a, _verdicts(a), PAIRED).withColumn("reasons", F.array_join("reasons", ","))
+
+
 # ---- export, identity, registry, recovery ------------------------------------------------------------------------------
 
 
@@ -517,5 +580,5 @@ def stream_admission(spark, sf_dir):
     return fences.decision_counts(_streamed(spark, sf_dir))
 
 
-ORACLES = oracles.ALL
+ORACLES = oracles.ALL | oracles_gates.ALL
 __all__ = ["ORACLES", "PROBES", "QUERIES"]
