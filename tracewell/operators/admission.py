@@ -19,15 +19,21 @@ def validate(records: DataFrame) -> DataFrame:
     """records with their reasons (sorted names) and rejected: the structural checks that make a record inadmissible.
 
     Needs path, generation, source, epoch, incarnation, source_revision, domain, response_domain, request_ns, response_ns, rtt_ns,
-    hop_indexes, and known_path, known_source, known_generation. An unknown path, source or generation is told alone.
+    hop_indexes, and known_path, known_source, known_generation. An unknown path, source or generation is told alone. With
+    hop_names and path_hops (the names along the path) a hop must stand at its path's position.
     """
     first = F.when(~F.col("known_path"), "unknown_path").when(~F.col("known_source"), "unknown_source").when(~F.col("known_generation"), "unknown_generation")
     rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size("hop_indexes") - 1, F.lit(1))), lambda i: F.coalesce(F.get("hop_indexes", i) > F.get("hop_indexes", i - 1), F.lit(True)))
+    astray = F.lit(False)
+    if {"hop_names", "path_hops"} <= set(records.columns):
+        placed = F.zip_with("hop_indexes", "hop_names", lambda i, name: F.coalesce(F.get("path_hops", i) == name, F.lit(False)))
+        astray = F.coalesce(F.exists(placed, lambda ok: ~ok), F.lit(False))
+    wrong = (F.col("response_ns") < F.col("request_ns")) | (F.col("rtt_ns") != F.try_subtract("response_ns", "request_ns"))
     rest = reasons(
-        F.when(F.col("epoch").isNull() | F.col("incarnation").isNull(), "missing_field"), F.when(F.col("source_revision") < 1, "invalid_field_value"),
-        F.when(F.col("domain").isNull(), "clock_domain_missing"), F.when(F.col("domain") != F.col("response_domain"), "incomparable_clocks"),
-        F.when(F.col("response_ns") < F.col("request_ns"), "hop_out_of_order"), F.when(F.col("rtt_ns") != F.try_subtract("response_ns", "request_ns"), "hop_conflicting"),
-        F.when(~rising, "hop_not_contiguous"),
+        F.when(F.col("epoch").isNull() | F.col("incarnation").isNull() | wrong, "invalid_field_value"),
+        F.when(F.col("source_revision").isNull() | (F.col("source_revision") < 1), "revision_changed"),
+        F.when(F.col("domain").isNull(), "clock_domain_missing"), F.when(F.col("domain") != F.col("response_domain"), "clock_reference_mismatch"),
+        F.when(~rising, "hop_not_contiguous"), F.when(astray, "hop_conflicting"),
     )
     found = F.when(first.isNotNull(), F.array(first)).otherwise(rest)
     return records.select("*", found.alias("reasons"), (F.size(found) > 0).alias("rejected"))
@@ -50,28 +56,33 @@ def sequence_fence(records: DataFrame, session: list[str]) -> DataFrame:
     return out.select(*records.columns, "seen", decision.alias("decision"), gap.alias("gap"))
 
 
-def session_fence(records: DataFrame) -> DataFrame:
-    """records with session (its number by first arrival within the source), session_current and session_reason.
+def session_fence(records: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+    """records with session (its number by first arrival within the source), session_current, session_reason and newest_epoch.
 
-    A session that first arrives later becomes the current one at once; records of older sessions are history.
+    A session that first arrives later becomes the current one at once; records of older sessions are history. Records that
+    differ in the columns of ``apart`` are fenced apart.
     """
-    own = ["source", "epoch", "incarnation"]
+    own, source = ["source", "epoch", "incarnation", *apart], ["source", *apart]
+    by_arrival = W.partitionBy(*source).orderBy("arrival")
     born = records.withColumn("_born", F.min("arrival").over(W.partitionBy(*own)))
-    born = born.withColumn("session", F.dense_rank().over(W.partitionBy("source").orderBy("_born")))
-    running = F.max("session").over(W.partitionBy("source").orderBy("arrival").rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = born.withColumn("_newest", running)
+    born = born.withColumn("session", F.dense_rank().over(W.partitionBy(*source).orderBy("_born")))
+    out = born.withColumn("_newest", F.max("session").over(by_arrival.rowsBetween(W.unboundedPreceding, W.currentRow)))
     fresh = (F.col("arrival") == F.col("_born")) & (F.col("session") > 1)
     why = F.when(~fresh, F.when(F.col("session") < F.col("_newest"), "session_superseded")).when(F.col("_previous") != F.col("epoch"), "epoch_advanced").otherwise("incarnation_changed")
     # The current epoch before a record is that of the newest session so far.
-    newest = F.last(F.when(F.col("session") == F.col("_newest"), F.col("epoch")), ignorenulls=True).over(W.partitionBy("source").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1))
-    out = out.withColumn("_previous", newest)
-    return out.select(*records.columns, "session", (F.col("session") == F.col("_newest")).alias("session_current"), why.alias("session_reason"))
+    at_newest = F.when(F.col("session") == F.col("_newest"), F.col("epoch"))
+    newest = lambda to: F.last(at_newest, ignorenulls=True).over(by_arrival.rowsBetween(W.unboundedPreceding, to))
+    out = out.withColumns({"_previous": newest(-1), "newest_epoch": newest(W.currentRow)})
+    return out.select(*records.columns, "session", (F.col("session") == F.col("_newest")).alias("session_current"), why.alias("session_reason"), "newest_epoch")
 
 
 def revision_fence(records: DataFrame, session: list[str]) -> DataFrame:
-    """records with revision_current: false where the session has already shown a higher source revision."""
-    upto = W.partitionBy(*session).orderBy("arrival").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return records.select("*", (F.col("source_revision") >= F.max("source_revision").over(upto)).alias("revision_current"))
+    """records with revision_current (false where the session has already shown a higher source revision) and revision_advanced."""
+    before = F.max("source_revision").over(W.partitionBy(*session).orderBy("arrival").rowsBetween(W.unboundedPreceding, -1))
+    out = records.withColumn("_highest", before)
+    now = F.col("source_revision")
+    current, advanced = F.coalesce(now >= F.col("_highest"), F.lit(True)), F.coalesce(now > F.col("_highest"), F.lit(False))
+    return out.select(*records.columns, current.alias("revision_current"), advanced.alias("revision_advanced"))
 
 
 def registry_fence(revision: Column, registered: Column) -> Column:
@@ -90,30 +101,44 @@ def superseded(generations: DataFrame) -> DataFrame:
     return generations.join(newer, "generation", "left_semi")
 
 
-def admit(records: DataFrame, registered_revision: int, usable: Column | None = None) -> DataFrame:
-    """records with decision, gap, session and verdict: all fences in their order.
+def admit(records: DataFrame, registered_revision: int | Column, usable: Column | None = None, fatal: Column | None = None, late: Column | None = None) -> DataFrame:
+    """records with decision, gap, session and verdict: all fences in their order, after one shuffle by source.
 
-    Sessions and sequences are fenced first, so a record that the registry rejects has used its sequence up. A replay is
-    rejected; what is reordered, of an older session or revision, or not usable is history.
+    ``fatal`` marks records that are rejected before the fences and leave no trace in them. Sessions and sequences are fenced
+    next, so a record that the registry rejects has used its sequence up. A replay is rejected; what is reordered, of an older
+    session or revision, ``late`` (of another or a superseded generation) or not usable is history.
     """
-    own = ["source", "epoch", "incarnation"]
-    out = revision_fence(sequence_fence(session_fence(records), own), own)
-    registry = registry_fence(F.col("source_revision"), F.lit(registered_revision))
-    verdict = F.when((F.col("decision") == "replay") | (registry == REJECTED), REJECTED).when((F.col("decision") == "reordered") | ~F.col("session_current") | ~F.col("revision_current") | (registry == HISTORICAL), HISTORICAL)
-    if usable is not None:
-        verdict = verdict.when(~usable, HISTORICAL)
-    return out.withColumn("verdict", verdict.otherwise(CURRENT))
+    registered = registered_revision if isinstance(registered_revision, Column) else F.lit(registered_revision)
+    own = ["source", "epoch", "incarnation", "_apart"]
+    rows = records.withColumn("_apart", F.lit(False) if fatal is None else fatal).repartition("source")
+    out = revision_fence(sequence_fence(session_fence(rows, ("_apart",)), own), own)
+    registry = registry_fence(F.col("source_revision"), registered)
+    old = (F.col("decision") == "reordered") | ~F.col("session_current") | ~F.col("revision_current") | (registry == HISTORICAL)
+    verdict = F.when(F.col("_apart") | (F.col("decision") == "replay") | (registry == REJECTED), REJECTED)
+    for why in [old, *[c for c in (late, None if usable is None else ~usable) if c is not None]]:
+        verdict = verdict.when(why, HISTORICAL)
+    return out.withColumn("verdict", verdict.otherwise(CURRENT)).drop("_apart")
 
 
 def report(admitted: DataFrame) -> DataFrame:
-    """Counters of a batch of admitted records."""
+    """Counters of a batch of admitted records; with hops (maps with dwells) those of dwells known and unknown too."""
     n = lambda c: F.count_if(c)
+    dwells = []
+    if "hops" in admitted.columns:
+        each = F.coalesce(F.map_values("hops"), F.array())
+        for name, field in (("hop_dwells", "dwell_ns"), ("queue_dwells", "queue_dwell_ns")):
+            known = F.sum(_known(each, field))
+            dwells += [F.coalesce(known, F.lit(0)).cast("bigint").alias(f"{name}_computed"), (F.coalesce(F.sum(F.size(each)), F.lit(0)) - F.coalesce(known, F.lit(0))).cast("bigint").alias(f"{name}_unknown")]
     return admitted.agg(
         F.count("*").alias("received"), *[n(F.col("verdict") == v).alias(v) for v in (CURRENT, HISTORICAL, REJECTED)], n(F.col("gap") > 0).alias("gaps"), F.coalesce(F.sum("gap"), F.lit(0).cast("bigint")).alias("skipped"),
-        n(F.col("decision") == "reordered").alias("reordered"), n(F.col("decision") == "replay").alias("replays"), n(F.col("session_reason") == "epoch_advanced").alias("epochs_advanced"),
+        n(F.col("decision") == "reordered").alias("reordered"), n(F.col("decision") == "replay").alias("replays"), n(F.col("session_reason") == "epoch_advanced").alias("epochs_advanced"), *dwells,
     )
 
 
+def _known(hops: Column, field: str) -> Column:
+    return F.size(F.filter(hops, lambda h: h[field].isNotNull()))
+
+
 def within_bounds(records: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Sources for which the batch forms may differ from the sequential rules (an empty result means they don't)."""
     per = records.groupBy("source", "epoch", "incarnation").agg(F.count_distinct("sequence").alias("sequences"))

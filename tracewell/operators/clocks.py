@@ -104,14 +104,19 @@ def dwell(pairs: DataFrame, entry: str = "entry_ns", exit_: str = "exit_ns") ->
     return pairs.select("*", value.alias("dwell_ns"), F.when(value.isNotNull(), F.col("uncertainty_ns")).alias("dwell_uncertainty_ns"), state.alias("dwell_state"))
 
 
-def queue_dwell(rows: DataFrame) -> DataFrame:
+def queue_dwell(rows: DataFrame, across: bool = False) -> DataFrame:
     """rows (hop_queue, queue, declared, queue_entry_ns, queue_exit_ns) with queue_dwell_ns and queue_state.
 
-    A queue dwell needs a hop that binds a queue, the same queue in the observation, and queue dwell among its semantics.
+    A queue dwell needs a hop that binds a queue, the same queue in the observation, and queue dwell among its semantics. With
+    ``across`` the rows are compared pairs, and entry and exit are each put on their reference first.
     """
+    entry, exit_, blocked = F.col("queue_entry_ns"), F.col("queue_exit_ns"), F.lit(None).cast("string")
+    if across:
+        entry, exit_ = F.try_subtract(entry, F.col("left_offset_ns")), F.try_subtract(exit_, F.col("right_offset_ns"))
+        blocked = F.when(F.col("verdict") != OK, F.col("verdict"))
     state = (
         F.when(F.col("hop_queue").isNull() & F.col("queue").isNull(), "absent").when(F.col("hop_queue").isNull(), "unsupported").when(F.col("queue").isNull(), "missing")
         .when(F.col("queue") != F.col("hop_queue"), "conflicting").when(~F.array_contains(F.split("declared", r"\|"), "queue_dwell"), "unsupported")
-        .when(F.col("queue_entry_ns").isNull() | F.col("queue_exit_ns").isNull(), "missing").when(F.col("queue_exit_ns") < F.col("queue_entry_ns"), "conflicting").otherwise("observed")
+        .when(F.col("queue_entry_ns").isNull() | F.col("queue_exit_ns").isNull(), "missing").when(blocked.isNotNull(), blocked).when(exit_ < entry, "conflicting").otherwise("observed")
     )
-    return rows.select("*", F.when(state == "observed", F.try_subtract("queue_exit_ns", "queue_entry_ns")).alias("queue_dwell_ns"), state.alias("queue_state"))
+    return rows.select("*", F.when(state == "observed", F.try_subtract(exit_, entry)).alias("queue_dwell_ns"), state.alias("queue_state"))

@@ -190,10 +190,9 @@ z AS (SELECT *, {_floor('e2e', 'complete')} AS mean, CASE WHEN kind IN ('partial
 
 _VAL = """
 val AS (SELECT exchange_id, CASE WHEN exchange_id % 41 = 0 THEN ['unknown_path'] WHEN exchange_id % 43 = 0 THEN ['unknown_source'] WHEN exchange_id % 47 = 0 THEN ['unknown_generation'] ELSE list_sort(list_distinct(list_filter([
-  CASE WHEN exchange_id % 17 = 3 THEN 'missing_field' END, CASE WHEN exchange_id % 19 < 1 THEN 'invalid_field_value' END,
-  CASE WHEN domain <> (CASE WHEN exchange_id % 23 = 0 THEN 'edge' ELSE 'reference' END) THEN 'incomparable_clocks' END,
-  CASE WHEN exchange_id % 29 = 0 AND rtt_ns > 0 THEN 'hop_out_of_order' END,
-  CASE WHEN (rtt_ns + CASE WHEN exchange_id % 31 = 0 THEN 1 ELSE 0 END) <> (CASE WHEN exchange_id % 29 = 0 THEN -rtt_ns ELSE rtt_ns END) THEN 'hop_conflicting' END,
+  CASE WHEN exchange_id % 17 = 3 OR exchange_id % 29 = 0 AND rtt_ns > 0 OR exchange_id % 31 = 0 OR exchange_id % 29 = 0 AND rtt_ns <> 0 THEN 'invalid_field_value' END,
+  CASE WHEN exchange_id % 19 < 1 THEN 'revision_changed' END,
+  CASE WHEN domain <> (CASE WHEN exchange_id % 23 = 0 THEN 'edge' ELSE 'reference' END) THEN 'clock_reference_mismatch' END,
   CASE WHEN exchange_id % 37 = 0 THEN 'hop_not_contiguous' END], lambda v: v IS NOT NULL))) END AS reasons FROM o)"""
 _I64 = "BETWEEN -9223372036854775808 AND 9223372036854775807"
 

@@ -25,6 +25,7 @@ class Policy:
     replay_window: int = 4096
     sessions_per_source: int = 64
     hops_per_path: int = 64
+    batch_records: int = 4096
     reasons: int = 24
     reference_domain: str = REFERENCE_DOMAIN
 

@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import evidence as ev, identity, numeric
-from ..operators import admission, attribution, baseline, catalog, clocks, export, summary
+from ..operators import admission, attribution, baseline, catalog, clocks, export, ingest, summary
 from ..sources import store, synthetic, views
 from ..streaming import fences
-from . import oracles, oracles_gates
+from . import oracles, oracles_gates, oracles_ingest, service
 from .policy import DEFAULT, PROBES, Policy, default_bounds
 
 QUERIES: dict = {}
@@ -284,6 +284,52 @@ def admission_bounds(spark, sf_dir):
     return admission.within_bounds(_events(spark, sf_dir), Policy(sessions_per_source=3, replay_window=20))
 
 
+def _ingest_parts(spark, sf_dir):
+    """Records of requests made of events, and the registry and clock reports that they meet."""
+    k = F.col("exchange_id")
+    e = _events(spark, sf_dir)
+    entry, hop = F.col("received_ns"), lambda i, name: F.struct(F.lit(i).alias("index"), F.lit(name).alias("hop"))
+    exit_ = entry + (k % 50 - 5) * 1000
+    near, far = F.lit("reference"), (k % 100 + 1).cast("string")
+    names = F.when(k % 73 == 0, F.array(hop(0, "h1"))).when(k % 79 == 0, F.array(hop(1, "h1"), hop(0, "h0"))).otherwise(F.array(hop(0, "h0"), hop(1, "h1")))
+    hops = F.transform(
+        names,
+        lambda h: F.struct(
+            h["index"].alias("index"), F.when((k + h["index"]) % 83 == 0, "hx").otherwise(h["hop"]).alias("hop"),
+            F.when(k % 7 == 1, F.lit(None)).otherwise("q").alias("queue"), entry.alias("entry_ns"), F.when(k % 9 == 2, far).otherwise(near).alias("entry_domain"),
+            exit_.alias("exit_ns"), near.alias("exit_domain"), (entry + 1).alias("queue_entry_ns"), F.when(k % 8 != 3, exit_ - 1).alias("queue_exit_ns"),
+        ),
+    )
+    records = e.select(
+        "exchange_id", "arrival", "path", F.when(k % 97 == 0, "g.9").when(k % 5 == 0, "g.1").otherwise("g.2").alias("generation"), F.col("source"),
+        F.when(k % 61 != 0, F.col("epoch")).alias("epoch"), "incarnation", "source_revision", "sequence", near.alias("domain"), F.when(k % 67 == 0, "edge").otherwise(near).alias("response_domain"),
+        F.col("received_ns").alias("request_ns"), (F.col("received_ns") + F.col("rtt_ns")).alias("response_ns"), (F.col("rtt_ns") + F.when(k % 71 == 0, 1).otherwise(0)).alias("rtt_ns"),
+        "received_ns", F.when(k % 4 == 1, far).otherwise(near).alias("observed_at_domain"), (F.col("received_ns") - (k % 90 - 2) * 1_000_000_000).alias("observed_at_ns"),
+        F.transform(hops, lambda h: h["index"]).alias("hop_indexes"), F.transform(hops, lambda h: h["hop"]).alias("hop_names"), hops.alias("hops"),
+    )
+    paths = e.select("path").distinct().where("path <> 'error'").select("path", F.lit("g.2").alias("generation"), F.array(F.lit("h0"), F.lit("h1")).alias("hops"))
+    sources = e.select("source").distinct().where("source % 29 <> 0").select("source", (2 + F.col("source") % 2).cast("int").alias("revision"))
+    generations = spark.range(1, 3).select(F.concat(F.lit("g."), "id").alias("generation"), F.when(F.col("id") == 2, "g.1").alias("supersedes"))
+    defined = spark.range(2).select(F.concat(F.lit("h"), "id").alias("hop"), F.when(F.col("id") == 1, "q").alias("queue"), F.lit("hop_dwell|queue_dwell").alias("declared"))
+    reports = views.clock_reports(spark, sf_dir, NOW).withColumn("valid_for_ns", F.when(F.col("valid_for_ns") > 1, F.lit(10**18)).otherwise(F.col("valid_for_ns")))
+    return records, paths, sources, generations, defined, reports
+
+
+@query
+def ingest_verdicts(spark, sf_dir):
+    records, paths, sources, generations, _, reports = _ingest_parts(spark, sf_dir)
+    found = ingest.evidence_names(ingest.ingest(records, paths, sources, generations, reports))
+    return found.select("exchange_id", F.array_join("reasons", ",").alias("reasons"), "state", "freshness", "age_ns", "decision", "gap", "session_current", "verdict")
+
+
+@query
+def ingest_hop_dwells(spark, sf_dir):
+    records, *_, defined, reports = _ingest_parts(spark, sf_dir)
+    made = ingest.hop_dwells(records, defined, reports, Policy(max_clock_uncertainty_ns=3_000_000))
+    flat = made.select("arrival", F.explode("hops").alias("hop_index", "h")).select("arrival", "hop_index", "h.*")
+    return flat.select("arrival", "hop_index", "dwell_ns", "queue_dwell_ns", "uncertainty_ns", ev.name_of(F.col("state"), ev.STATES).alias("state"), "reason")
+
+
 # ---- baselines ---------------------------------------------------------------------------------------------------------
 
 
@@ -544,14 +590,9 @@ def ingest_requests(spark, sf_dir):
     return rows.select("event_id", "ok", "error", F.col("record.path").alias("path"), (F.col("record.response_ns") - F.col("record.request_ns")).alias("rtt_ns"))
 
 
-CAPABILITIES = [
-    ("clock comparability", "real"), ("exact aggregation", "real"), ("generation-bound baselines", "real"), ("hop attribution", "real"), ("keyed admission fences", "real"), ("causal inference", "unsupported"), ("traffic control", "unsupported"),
-]
-
-
 @query
 def capabilities(spark, sf_dir):
-    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("capability"), F.lit(s).alias("status")) for c, s in CAPABILITIES]))
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("capability"), F.lit(s).alias("status")) for c, s in service.CAPABILITIES]))
     return spark.range(1).select(rows)
 
 
@@ -565,9 +606,8 @@ def _folder(spark: SparkSession) -> str:
 
 def _streamed(spark, sf_dir):
     schema = views.read(spark, sf_dir, "events").schema
-    single = fences.file_stream(spark, sf_dir, "events.parquet", schema)
-    folder = _folder(spark)
-    return fences.run_to_table(fences.admit_stream(views.event_columns(single), 2), f"{folder}/out", f"{folder}/state")
+    events, folder = fences.table_stream(spark, sf_dir, "events", schema), _folder(spark)
+    return fences.run_to_table(fences.admit_stream(views.event_columns(events), 2), f"{folder}/out", f"{folder}/state")
 
 
 @query
@@ -580,5 +620,5 @@ def stream_admission(spark, sf_dir):
     return fences.decision_counts(_streamed(spark, sf_dir))
 
 
-ORACLES = oracles.ALL | oracles_gates.ALL
+ORACLES = oracles.ALL | oracles_gates.ALL | oracles_ingest.ALL
 __all__ = ["ORACLES", "PROBES", "QUERIES"]

@@ -8,13 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.identity import fnv1a64_of
-from ..operators import admission, attribution, baseline, export, summary
+from ..operators import admission, attribution, baseline, export, ingest, summary
 from ..sources import store
 from .policy import DEFAULT, Policy
 
+#: What the library does and what it refuses to claim.
+CAPABILITIES = (
+    ("clock comparability", "real"), ("exact aggregation", "real"), ("generation-bound baselines", "real"), ("hop attribution", "real"),
+    ("keyed admission fences", "real"), ("causal inference", "unsupported"), ("traffic control", "unsupported"),
+)
 #: Kinds of definition, the fields each needs, and what its references name.
 DEFINITIONS: dict[str, tuple[tuple[str, ...], dict[str, str]]] = {
     "source": (("source_kind", "authority", "semantics"), {}),
@@ -39,7 +45,7 @@ class Service:
         self.syncs: dict[str, dict] = {}
         self.baselines: DataFrame | None = None
         self.operations: dict[str, Callable[[dict], object]] = {
-            "capabilities": lambda r: [{"capability": "exact aggregation", "status": "real"}, {"capability": "causal inference", "status": "unsupported"}],
+            "capabilities": lambda r: [{"capability": c, "status": s} for c, s in CAPABILITIES],
             "status": lambda r: {"records": self.exchanges.count(), **{k: len(v) for k, v in self.registry.items()}, "clock_syncs": len(self.syncs)},
             "operations": lambda r: sorted(self.operations),
             **{f"define_{kind}": (lambda r, kind=kind: self._define(kind, r)) for kind in DEFINITIONS},
@@ -56,6 +62,8 @@ class Service:
             return {"ok": True, "op": op, "policy_digest": self.policy.digest(), "result": self.operations[op](request)}
         except Refused as e:
             return {"ok": False, "op": op, "error": {"code": e.args[0], "message": " ".join(map(str, e.args[1:]))}}
+        except AnalysisException as e:  # records that lack a column
+            return {"ok": False, "op": op, "error": {"code": "invalid_argument", "message": str(e).split("\n")[0]}}
         except (KeyError, TypeError, ValueError) as e:
             return {"ok": False, "op": op, "error": {"code": "missing_field" if isinstance(e, KeyError) else "invalid_argument", "message": str(e)}}
 
@@ -93,16 +101,38 @@ class Service:
 
     # ---- facts ---------------------------------------------------------------------------------------------------------
 
-    def _ingest(self, r: dict) -> DataFrame:
-        """Verdicts of the records of a DataFrame of JSON documents (column value) or of prepared records."""
-        rows = r["records"]
+    def _rows(self, kind: str, columns: str, of) -> DataFrame:
+        return self.spark.createDataFrame([of(name, d) for name, d in self.registry[kind].items()], columns)
+
+    def _reports(self) -> DataFrame:
+        """The clock reports given so far, one of each domain."""
+        rows = [(d, *[r.get(k) for k in ("reference", "state", "offset_ns", "uncertainty_ns", "valid_for_ns")], r.get("observed_ns", 0), r["revision"], r.get("generation"), r.get("epoch"), r.get("incarnation")) for d, r in self.syncs.items()]
+        kinds = "domain string, reference string, sync_state string, offset_ns long, uncertainty_ns long, valid_for_ns long, observed_ns long, revision int, generation string, epoch string, incarnation string"
+        return self.spark.createDataFrame(rows, kinds)
+
+    def _ingest(self, r: dict) -> dict:
+        """verdicts, report and failed of a DataFrame of JSON documents (column value) or of records as of ``ingest.ingest``.
+
+        A document that does not decode is told in ``failed`` and gives no record. What is not rejected is appended to the
+        service's table, with the dwells of its hops.
+        """
+        rows, failed = r["records"], None
         if "value" in rows.columns:
-            decoded = store.decode_requests(rows).where("ok").select("received_at_ns", "record.*")
-            rows = decoded.withColumn("arrival", F.monotonically_increasing_id())
-        admitted = admission.admit(rows, int(r.get("registered_revision", 1)))
+            decoded = store.decode_requests(rows, most=self.policy.batch_records)
+            failed = decoded.where(~F.col("ok")).select("error").groupBy("error").count()
+            rows = ingest.from_documents(decoded.where("ok"), self.policy)
+        paths = self._rows("path", "path string, generation string, hops array<string>", lambda n, d: (n, d["generation"], d["hops"]))
+        sources = self._rows("source", "source string, revision int", lambda n, d: (n, d["revision"]))
+        generations = self._rows("generation", "generation string, supersedes string", lambda n, d: (n, d.get("supersedes")))
+        semantics = {n: d["semantics"] for n, d in self.registry["queue"].items()}
+        hops = self._rows("hop", "hop string, queue string, declared string", lambda n, d: (n, d.get("queue"), semantics.get(d.get("queue"), "")))
+        reports = self._reports()
+        found = ingest.ingest(rows, paths, sources, generations, reports, self.policy)
+        dwells = ingest.hop_dwells(rows, hops, reports, self.policy)
+        found = found.drop("hops", "hop_indexes", "hop_names").join(dwells, "arrival", "left")
         if self.table:
-            store.write_exchanges(admitted.where(F.col("verdict") != admission.REJECTED), self.table)
-        return admitted
+            store.write_exchanges(found.where(F.col("verdict") != admission.REJECTED), self.table)
+        return {"verdicts": found, "report": admission.report(found.withColumn("session_reason", F.when(F.array_contains("reasons", "epoch_advanced"), "epoch_advanced"))), "failed": failed}
 
     def _request(self, r: dict, mode: str) -> summary.Request:
         return summary.Request(r["path"], r["generation"], r.get("from_ns", 0), r["to_ns"], r.get("mode", mode), r.get("source"))

@@ -18,18 +18,18 @@ REQUEST = T.StructType([T.StructField("op", T.StringType()), T.StructField("rece
 REQUIRED = ("path", "generation", "source", "epoch", "incarnation", "source_revision", "sequence", "domain", "request_ns", "response_ns", "observed_at_ns", "observed_at_domain")
 
 
-def decode_requests(lines: DataFrame, column: str = "value") -> DataFrame:
+def decode_requests(lines: DataFrame, column: str = "value", most: int = 4096) -> DataFrame:
     """One row per record of each ingest document: request (line number as given by ``line`` if present), received_at_ns, record, ok, error.
 
-    A document that doesn't parse, asks another operation, or holds a record without a required field fails whole: one row,
-    ok false and its error. An empty batch gives no rows.
+    A document that doesn't parse, asks another operation, holds a record without a required field or more than ``most``
+    records fails whole: one row, ok false and its error. An empty batch gives no rows.
     """
     keep = [c for c in lines.columns if c != column]
     parsed = lines.select(*keep, F.from_json(column, REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"), F.col(column).alias("_text"))
     lacking = F.exists("d.records", lambda r: ~_complete(r))
     error = (
         F.when(F.col("d").isNull() | F.col("d._corrupt_record").isNotNull() | F.col("_text").isNull(), "malformed_payload").when(F.coalesce(F.col("d.op"), F.lit("")) != "ingest", "unsupported_operation")
-        .when(F.col("d.records").isNull(), "missing_field").when(lacking, "missing_field")
+        .when(F.col("d.records").isNull(), "missing_field").when(F.size("d.records") > most, "capacity_exceeded").when(lacking, "missing_field")
     )
     marked = parsed.withColumn("error", error)
     good = marked.where("error is null").select(*keep, F.col("d.received_at_ns").alias("received_at_ns"), F.explode("d.records").alias("record"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))

@@ -10,6 +10,7 @@ import pickle
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -72,20 +73,48 @@ def admit_stream(records: DataFrame, registered_revision: int, policy: Policy =
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fence = pickle.loads(state.get[0]) if state.exists else Fence()
-        batch = pd.concat(frames).sort_values("arrival")
-        made = [fence.admit(e, i, int(r), int(s), registered_revision, policy) for e, i, r, s in zip(batch["epoch"], batch["incarnation"], batch["source_revision"], batch["sequence"], strict=True)]
+        for frame in _by_arrival(frames):
+            made = [fence.admit(e, i, int(r), int(s), registered_revision, policy) for e, i, r, s in zip(frame["epoch"], frame["incarnation"], frame["source_revision"], frame["sequence"], strict=True)]
+            found = pd.DataFrame(made, columns=["decision", "gap", "session_current", "session_reason", "verdict"], index=frame.index)
+            yield pd.concat([frame[["exchange_id", "arrival", "source", "sequence"]], found], axis=1)[[n for n, _ in _OUT]]
         state.update((pickle.dumps(fence),))
-        found = pd.DataFrame(made, columns=["decision", "gap", "session_current", "session_reason", "verdict"], index=batch.index)
-        yield pd.concat([batch[["exchange_id", "arrival", "source", "sequence"]], found], axis=1)[[n for n, _ in _OUT]]
 
     return records.groupBy("source").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+_KEPT = ("exchange_id", "arrival", "source", "sequence", "epoch", "incarnation", "source_revision")
+
+
+def _by_arrival(frames: Iterator[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """A source's frames of one micro-batch in order of arrival, a bounded number of rows at a time.
+
+    Frames come in no given order, so the micro-batch's rows of the source are kept as narrow columns (texts as categories)
+    until all are there; how many files a micro-batch holds bounds them (``files_per_batch``).
+    """
+    held = [f[list(_KEPT)].astype({"epoch": "category", "incarnation": "category"}) for f in frames]
+    if not held:
+        return
+    order = np.argsort(np.concatenate([f["arrival"].to_numpy() for f in held]), kind="stable")
+    starts = np.cumsum([0, *[len(f) for f in held]])
+    for i in range(0, len(order), rows):
+        part = order[i : i + rows]
+        which = np.searchsorted(starts, part, side="right") - 1
+        picked = [held[k].iloc[part[which == k] - starts[k]].astype({"epoch": object, "incarnation": object}) for k in np.unique(which)]
+        yield pd.concat(picked).sort_values("arrival", kind="stable", ignore_index=True)
+
+
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream, a few files to a batch."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
+    """A table below a folder as a stream, whether it is one file or a folder of part files."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/{name}.parquet").select("path")
+    one = paths.limit(2).where(F.col("path").endswith(f"/{name}.parquet")).count() == 1
+    return file_stream(spark, folder, f"{name}.parquet", schema, files_per_batch) if one else file_stream(spark, f"{folder}/{name}.parquet", "*.parquet", schema, files_per_batch)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Everything available, appended to a Parquet table; state and progress are in the checkpoint, so a rerun goes on from there."""
     stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
