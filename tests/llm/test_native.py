@@ -322,6 +322,19 @@ def test_distance_is_jensen_shannon(spark):
         assert got == pytest.approx(np.sqrt(max(0, (kl(a, (a + b) / 2) + kl(b, (a + b) / 2)) / 2)), abs=1e-7)
 
 
+def test_each_language_is_judged_by_its_own_text(spark):
+    def text(i, letters):
+        r = random.Random(f"{i}{letters}")
+        return " ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 9))) for _ in range(150))
+
+    cyrillic, latin = "абвгдежзийклмнопрст", "abcdefghilmnopqrstu"
+    rows = [(i, text(i, cyrillic), "ru") for i in range(60)] + [(100 + i, text(i, latin), "pt") for i in range(25)]
+    rows += [(200, text(200, latin), "ru"), (201, text(201, cyrillic), "pt"), (202, text(202, cyrillic), None), (203, text(203, latin), "xx")]
+    got = {r["doc_id"]: r for r in quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i in [*range(60), *range(100, 125), 202, 203]) and not got[200]["kept"] and not got[201]["kept"]
+    assert got[0]["word_distance"] is None and got[202]["char_distance"] is None and got[203]["char_distance"] is None
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_odd_texts_diverge(spark):
     docs = table(spark, SMALL, "documents").select("doc_id", "text", "lang")

@@ -39,7 +39,7 @@ FROM p JOIN f USING (html)
 
 
 def _op9() -> str:
-    from .quality_rules import CHAR_LEAST, CHAR_MOST, COMMON, WORD_LEAST, WORD_MOST
+    from .quality_rules import CHAR_LEAST, CHAR_MOST, COMMON, LANG_LEAST, WORD_LEAST, WORD_MOST
 
     def less(chars: str) -> str:
         return f"length(t) - length(regexp_replace(t, '[{chars}]', '', 'g'))"
@@ -50,13 +50,13 @@ def _op9() -> str:
         terms = [f"({half(x(p, i), m)} + {half(x(q, i), m)}) / 2" for i in range(1, size + 1) for m in [f"(({x(p, i)} + {x(q, i)}) / 2)"]]
         return f"sqrt(greatest({' + '.join(terms)}, 0))"
 
-    lists = "CASE lg " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in COMMON.items()) + f" ELSE {COMMON['en']} END"
+    lists = "CASE lg " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in COMMON.items()) + " ELSE []::VARCHAR[] END"
     langs = ", ".join(f"'{k}'" for k in COMMON)
     size = len(COMMON["en"]) + 1
     failed = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
     return rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS lg,
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lang AS lg,
     list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), win AS (
   SELECT r, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
@@ -70,12 +70,12 @@ WITH d AS (
   FROM d LEFT JOIN rep USING (r)
 ), g AS (
   SELECT *, {failed} AS base_failed, [up, dig, pun, n_symbols, chars - word_chars, bey, greatest(chars - up - dig - pun - n_symbols - (chars - word_chars) - bey, 0)] AS p,
-    list_concat(com, [n_words - list_sum(com)]) AS o FROM f
+    list_concat(com, [n_words - coalesce(list_sum(com), 0)]) AS o FROM f
 ), ref AS (
-  SELECT lg, [{', '.join(f'sum(p[{i}])' for i in range(1, 8))}] AS q, [{', '.join(f'sum(o[{i}])' for i in range(1, size + 1))}] AS s FROM g WHERE NOT base_failed GROUP BY lg
+  SELECT lg, [{', '.join(f'sum(p[{i}])' for i in range(1, 8))}] AS q, [{', '.join(f'sum(o[{i}])' for i in range(1, size + 1))}] AS s FROM g WHERE NOT base_failed AND lg IS NOT NULL GROUP BY lg HAVING count(*) >= {LANG_LEAST}
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(CASE WHEN chars >= {CHAR_LEAST} THEN {js('p', 'q', 7)} END, 0) <= {CHAR_MOST} AND coalesce(CASE WHEN n_words >= {WORD_LEAST} THEN {js('o', 's', size)} END, 0) <= {WORD_MOST} AS kept
+  NOT base_failed AND coalesce(CASE WHEN chars >= {CHAR_LEAST} AND q IS NOT NULL THEN {js('p', 'q', 7)} END, 0) <= {CHAR_MOST} AND coalesce(CASE WHEN n_words >= {WORD_LEAST} AND q IS NOT NULL AND lg IN ({langs}) THEN {js('o', 's', size)} END, 0) <= {WORD_MOST} AS kept
 FROM g LEFT JOIN ref USING (lg)
 """
 

@@ -6,12 +6,15 @@ distance (square root of the divergence in bits) and fails the document beyond `
 histogram of fewer than ``CHAR_LEAST`` characters or ``WORD_LEAST`` words isn't judged.
 
 The references are sums over all documents of a language that pass the base rules, combined before the shuffle: one row for
-each language of ``COMMON`` and one for all others, so what the driver reads is bounded by that list.
+each value of ``lang``, joined back by it (broadcast where they are at most ``MAX_BROADCAST``, counted first). Each language is
+thus judged by its own text, whichever it is; one without a list in ``COMMON`` is judged by its characters only, and one
+of fewer than ``LANG_LEAST`` sound documents, or none (null), isn't judged by the method.
 
 Repeated windows: the windows of a text are hashed; only where a hash repeats are they sorted and compared word by word.
 
-Defined results: null or empty text has no words and fails; null and unknown languages share a reference and the English
-words; each input row gives one row, whatever its doc_id; other columns are ignored.
+Defined results: null or empty text has no words and fails; very long texts are counted whole; a distance equal to its bound
+is kept; each input row gives one row, whatever its doc_id, repeated or not; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from .common import cut
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
-CHAR_MOST, WORD_MOST, CHAR_LEAST, WORD_LEAST = 0.22, 0.27, 400, 100
+CHAR_MOST, WORD_MOST, CHAR_LEAST, WORD_LEAST, LANG_LEAST = 0.22, 0.27, 400, 100, 20
+MAX_BROADCAST = 10_000
 #: Common words of each language.
 COMMON = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "it", "with", "on", "as"],
@@ -37,14 +41,9 @@ def _count(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))).cast("long")
 
 
-def _group(lang: Column) -> Column:
-    """The language if it has its own words, else ``other``."""
-    return F.when(lang.isin(list(COMMON)), lang).otherwise("other")
-
-
 def features(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """keep, lang group, the counts of the contract, chars and common: the two histograms."""
-    own = docs.select(*keep, _group(F.col(lang)).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    """keep, language, the counts of the contract, chars and common: the two histograms."""
+    own = docs.select(*keep, F.col(lang).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     own = own.withColumn("_w", F.array_remove(F.split("_t", SPACE), ""))
     n = F.size("_w")
     # An element of _hash for each window. _w is read several times in it, so the plan keeps it as a column.
@@ -58,8 +57,9 @@ def features(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "
     covered = F.aggregate(starts, zero, lambda a, s: F.struct((s + WINDOW).alias("to"), (a["n"] + s + WINDOW - F.greatest(a["to"], s)).alias("n")), lambda a: a["n"])
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     own = own.withColumn("_lines", lines)
-    words = F.create_map(*[x for k, v in {**COMMON, "other": COMMON["en"]}.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    own = own.withColumn("_common", F.element_at(words, F.col("_lang")))
+    words = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    none = F.array().cast("array<string>")
+    own = own.withColumn("_common", F.coalesce(F.try_element_at(words, F.coalesce("_lang", F.lit(""))), none))
     every = sorted({w for v in COMMON.values() for w in v})
     counted = own.select(
         *keep, "_lang", "_common",
@@ -86,12 +86,16 @@ def _words(common: Column) -> Column:
     return F.concat(common, F.array(F.col("n_words") - F.aggregate(common, F.lit(0).cast("long"), lambda a, x: a + x)))
 
 
-def references(found: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """language group -> (characters per class, occurrences per common word and of the rest), over all sound documents."""
+def references(found: DataFrame) -> DataFrame:
+    """_lang, _q (characters per class) and _r (occurrences per common word and of the rest; null without a list of them) over
+    all sound documents of each language that has enough of them."""
     size = len(next(iter(COMMON.values()))) + 1
-    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get(_words(F.col("common")), F.lit(i))).alias(f"w{i}") for i in range(size)]
-    rows = found.where(~base_failed()).groupBy("_lang").agg(*sums).collect()  # at most len(COMMON) + 1 rows
-    return {r["_lang"]: ([r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{i}"] for i in range(size)]) for r in rows}
+    total = lambda a, i: F.sum(F.get(a, F.lit(i)).cast("decimal(38,0)")).cast("double")
+    chars = F.array(*[total(F.col("chars"), i) for i in range(len(CLASSES))])
+    words = F.array(*[total(_words(F.col("common")), i) for i in range(size)])
+    sound = found.where(~base_failed() & F.col("_lang").isNotNull())
+    sums = sound.groupBy("_lang").agg(F.count("*").alias("_n"), chars.alias("_q"), words.alias("_r")).where(F.col("_n") >= LANG_LEAST)
+    return sums.select("_lang", "_q", F.when(F.col("_lang").isin(list(COMMON)), F.col("_r")).alias("_r"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -107,18 +111,13 @@ def js_distance(p: Column, q: Column) -> Column:
 def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, the counts, base_failed, char_distance, word_distance (null where too short) and kept."""
     found = cut(features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")), ["doc_id"]))
-    reference = references(found)
-
-    def at(which: int) -> Column:
-        out = F.lit(None).cast("array<double>")
-        for k, r in sorted(reference.items()):
-            out = F.when(F.col("_lang") == k, F.array(*[F.lit(float(x or 0)) for x in r[which]])).otherwise(out)
-        return out
-
+    reference = cut(references(found))
+    reference = F.broadcast(reference) if reference.count() <= MAX_BROADCAST else reference
     real = lambda a: F.transform(a, lambda x: x.cast("double"))
-    judged = found.select("*", at(0).alias("_q"), at(1).alias("_r"), real(F.col("chars")).alias("_p"), real(_words(F.col("common"))).alias("_o"))
+    judged = found.join(reference, "_lang", "left").withColumns({"_p": real(F.col("chars")), "_o": real(_words(F.col("common")))})
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    char, word = F.when(n_chars >= CHAR_LEAST, js_distance(F.col("_p"), F.col("_q"))), F.when(F.col("n_words") >= WORD_LEAST, js_distance(F.col("_o"), F.col("_r")))
+    char = F.when((n_chars >= CHAR_LEAST) & F.col("_q").isNotNull(), js_distance(F.col("_p"), F.col("_q")))
+    word = F.when((F.col("n_words") >= WORD_LEAST) & F.col("_r").isNotNull(), js_distance(F.col("_o"), F.col("_r")))
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = judged.select(*counts, base_failed().alias("base_failed"), char.alias("char_distance"), word.alias("word_distance"))
     sound = (F.coalesce("char_distance", F.lit(0.0)) <= CHAR_MOST) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_MOST)
