@@ -43,6 +43,28 @@ def ppm(part: Column, whole: Column) -> Column:
     return F.when(part.isNull() | whole.isNull(), None).when(whole == 0, F.lit(0).cast("bigint")).otherwise(F.least(F.lit(1_000_000).cast("bigint"), floor_div(part.cast(_WIDE) * 1_000_000, whole)))
 
 
+def parse_i64(text: Column) -> Column:
+    """A whole text of digits with or without a sign as a BIGINT, else NULL."""
+    return F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("bigint"))
+
+
+def parse_u64(text: Column) -> Column:
+    """A whole text of digits as an unsigned number of 64 bits, else NULL."""
+    wide = F.when(text.rlike(r"\A[0-9]+\z"), text.try_cast("decimal(38,0)"))
+    return F.when(wide < F.lit(str(2**64)).cast("decimal(38,0)"), wide.cast("decimal(20,0)"))
+
+
+def successor(value: Column, most: int) -> Column:
+    """The next of a sequence, revision or position; NULL after the last."""
+    return F.when(value < most, value + 1)
+
+
+def coverage_text(observed: Column, total: Column) -> Column:
+    """``observed/total``, and how many are unknown where any are."""
+    rest = F.when(observed < total, F.concat(F.lit(" (unknown="), total - observed, F.lit(")"))).otherwise("")
+    return F.concat(observed, F.lit("/"), total, rest)
+
+
 def bucket_of(value: Column, bounds: list[int]) -> Column:
     """Histogram bucket: how many bounds the value reaches; -1 is underflow (a value below 0), NULL stays NULL."""
     # Halving on literals: log2(bounds) comparisons, all in generated code.

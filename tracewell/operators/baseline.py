@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.identity import fnv1a64
-from ..functions.numeric import distribution, floor_div
+from ..functions.numeric import distribution, floor_div, quantile_columns
 from ..plans.policy import DEFAULT, Policy
 
 #: Kinds of mismatch in their order.
-MISMATCHES = ("path", "generation", "clock_domain", "not_usable", "stale", "expired", "too_few_samples")
+MISMATCHES = ("path", "generation", "clock_domain", "histogram", "probes", "not_usable", "stale", "expired", "too_few_samples")
 STATISTICS = ("n", "min_ns", "max_ns", "sum_ns", "mean_ns", "p99")
 
 
@@ -55,13 +55,15 @@ def anomaly_class(current_n: Column, reference_n: Column, delta: Column, policy:
 def compare(current: DataFrame, baselines: DataFrame, on: str, as_of_ns: Column, policy: Policy = DEFAULT, usable: Column | None = None) -> DataFrame:
     """current (on, path, generation, domain, statistics) against the baseline it names: mismatches, deltas, ratio, class.
 
-    Where anything mismatches the baseline doesn't apply, and no delta is given.
+    Where anything mismatches the baseline doesn't apply, and no delta is given. Histogram digests and probes are compared
+    where both sides have a column histogram or probes.
     """
+    shapes = [F.when(~F.col(c).eqNullSafe(F.col(f"b_{c}")), c) for c in ("histogram", "probes") if c in current.columns and c in baselines.columns]
     b = baselines.select(F.col("baseline_id").alias(on), *[F.col(c).alias(f"b_{c}") for c in baselines.columns if c != "baseline_id"])
     joined = current.join(b, on, "left")
     age = as_of_ns - F.col("b_created_ns")
     found = F.array_compact(F.array(
-        F.when(F.col("path") != F.col("b_path"), "path"), F.when(F.col("generation") != F.col("b_generation"), "generation"), F.when(F.col("domain") != F.col("b_domain"), "clock_domain"),
+        F.when(F.col("path") != F.col("b_path"), "path"), F.when(F.col("generation") != F.col("b_generation"), "generation"), F.when(F.col("domain") != F.col("b_domain"), "clock_domain"), *shapes,
         F.when((age < 0) | (~usable if usable is not None else F.lit(False)), "not_usable"),
         F.when((age > policy.aging_ns) & (age <= policy.stale_ns), "stale"), F.when(age > policy.stale_ns, "expired"),
         F.when((F.col("n") < policy.min_samples) | (F.col("b_n") < policy.min_samples), "too_few_samples"),
@@ -90,3 +92,19 @@ def anomalies(current: DataFrame, reference: DataFrame, keys: list[str], policy:
     few = (F.col("current_n") < policy.min_samples) | (F.col("baseline_n") < policy.min_samples)
     confidence = F.when(few, "low").when(F.col("current_n") >= 4 * policy.min_samples, "high").otherwise("moderate")
     return j.select(*keys, "current_n", "baseline_n", delta.alias("mean_delta_ns"), ratio_ppm(F.col("current_mean_ns"), F.col("baseline_mean_ns")).alias("ratio_ppm"), anomaly_class(F.col("current_n"), F.col("baseline_n"), delta, policy).alias("anomaly"), confidence.alias("confidence"))
+
+
+def tail_column(probes: tuple[tuple[int, int], ...]) -> str | None:
+    """The quantile column that stands for the tail: p99, or the last one where that isn't asked."""
+    names = quantile_columns(probes)
+    return "p99" if "p99" in names else names[-1] if names else None
+
+
+def anomalies_with_total(current: DataFrame, reference: DataFrame, current_total: DataFrame, reference_total: DataFrame, keys: list[str], policy: Policy = DEFAULT) -> DataFrame:
+    """Anomalies of each hop, and one of the whole (hop ``end_to_end`` at position 0), for each group of keys.
+
+    The totals hold keys, n and mean_ns; the hops a hop_index too.
+    """
+    hops = anomalies(current, reference, [*keys, "hop_index"], policy).withColumn("hop", F.concat(F.lit("hop"), "hop_index"))
+    whole = anomalies(current_total, reference_total, keys, policy).withColumns({"hop_index": F.lit(0), "hop": F.lit("end_to_end")})
+    return hops.unionByName(whole)

@@ -122,6 +122,18 @@ def from_documents(decoded: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     )
 
 
+def reclassified(records: DataFrame, reports: DataFrame, as_of_ns: Column, policy: Policy = DEFAULT) -> DataFrame:
+    """Stored records (observed_at_domain, observed_at_ns, state) with the freshness and reasons they have after a restart.
+
+    A restart never makes what is past current: ages are taken anew at ``as_of_ns``; times and states stay.
+    """
+    aged = clocks.estimate_age(records.drop("freshness"), reports, as_of_ns, "observed_at_domain", "observed_at_ns", policy)
+    fresh = freshness(F.col("age_ns"), policy)
+    stale = F.when((F.col("state") == 0) & ~usable(F.col("state"), fresh), "evidence_stale")
+    reasons = F.array_compact(F.array(stale, F.lit("restart_loaded_evidence")))
+    return aged.select(*[c for c in records.columns if c != "freshness"], fresh.alias("freshness"), reasons.alias("restart_reasons"))
+
+
 def evidence_names(rows: DataFrame) -> DataFrame:
     """rows with state and freshness as names."""
     return rows.withColumns({"state": name_of(F.col("state"), STATES), "freshness": name_of(F.col("freshness"), FRESHNESS)})

@@ -65,3 +65,8 @@ def check_bounds(bounds: list[int], most: int = 512) -> list[int]:
     if not bounds or len(bounds) > most or bounds[0] < 0 or any(a >= b for a, b in zip(bounds, bounds[1:], strict=False)):
         raise ValueError("histogram bounds must rise strictly from 0 or more")
     return bounds
+
+
+def bounds_digest(bounds: list[int]) -> str:
+    """SHA-256 of a histogram's canonical text."""
+    return hashlib.sha256(f"histogram.bounds={','.join(map(str, check_bounds(bounds)))}\n".encode()).hexdigest()

@@ -11,8 +11,8 @@ from ..functions import evidence as ev, identity, numeric
 from ..operators import admission, attribution, baseline, catalog, clocks, export, ingest, summary
 from ..sources import store, synthetic, views
 from ..streaming import fences
-from . import oracles, oracles_gates, oracles_ingest, service
-from .policy import DEFAULT, PROBES, Policy, default_bounds
+from . import oracles, oracles_gates, oracles_ingest, oracles_values, service
+from .policy import DEFAULT, PROBES, Policy, bounds_digest, default_bounds
 
 QUERIES: dict = {}
 DAY = 86_400_000_000_000
@@ -596,6 +596,108 @@ def capabilities(spark, sf_dir):
     return spark.range(1).select(rows)
 
 
+# ---- evidence as a value, texts, documents --------------------------------------------------------------------------
+
+
+def _evidence(k):
+    """One kind of evidence for each remainder of a number."""
+    out = ev.observed(k % 5, k % 3, "evidence_fresh")
+    for i, kind in enumerate(ev.KINDS):
+        out = F.when(k % 9 == i, ev.evidence(kind, f"why_{i}", "also")).otherwise(out)
+    return out
+
+
+@query
+def evidence_values(spark, sf_dir):
+    k = F.col("exchange_id")
+    o = _orders(spark, sf_dir, False).select("exchange_id", _evidence(k).alias("a"), _evidence(k + 4).alias("b"))
+    both = ev.merge(F.col("a"), F.col("b"))
+    parsed = ev.rank_of(F.when(k % 10 == 0, "no such state").otherwise(ev.name_of(F.col("a.state"), ev.STATES)), ev.STATES)
+    return o.select("exchange_id", ev.summarize(F.col("a")).alias("text"), ev.summarize(both).alias("merged"), ev.has_value(F.col("a.state")).alias("has_value"), parsed.alias("parsed"))
+
+
+@query
+def evidence_rollup(spark, sf_dir):
+    o = _orders(spark, sf_dir, False).where("exchange_id % 9 > 6 or exchange_id % 9 < 3 and path < '3'")
+    m = o.select("path", "generation", _evidence(F.col("exchange_id")).alias("e")).groupBy("path", "generation").agg(ev.merged(F.col("e")).alias("m"))
+    return m.select("path", "generation", ev.summarize(F.col("m")).alias("text"))
+
+
+@query
+def number_parsing(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.when(k % 5 == 0, F.concat(F.lit("+"), k)).when(k % 5 == 1, F.concat(k, F.lit("99999999999999999"))).when(k % 5 == 2, F.concat(F.lit("-"), k)).when(k % 5 == 3, F.concat(k, F.lit(" "))).otherwise(k.cast("string"))
+    p = views.read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    signed = numeric.parse_i64(F.col("text"))
+    return p.select("p_partkey", "text", signed.alias("signed"), numeric.parse_u64(F.col("text")).cast("string").alias("unsigned"), numeric.successor(signed, 1500).alias("next"))
+
+
+@query
+def coverage_texts(spark, sf_dir):
+    h = summary.hop_summary(_orders(spark, sf_dir), ["path"], views.HOPS)
+    return h.select("path", "hop_index", numeric.coverage_text(F.col("observed"), F.col("exchanges")).alias("coverage"))
+
+
+@query
+def histogram_spec(spark, sf_dir):
+    return spark.range(1).select(F.lit(bounds_digest(default_bounds())).alias("digest"), F.lit(len(default_bounds())).alias("bounds"))
+
+
+@query
+def restart_reclassified(spark, sf_dir):
+    k = F.col("exchange_id")
+    e = _events(spark, sf_dir).where(F.col("received_ns") < JAN5)
+    stored = e.select("exchange_id", F.when(k % 4 == 1, (k % 100 + 1).cast("string")).otherwise("reference").alias("observed_at_domain"), (F.col("received_ns") + (k % 7) * 1_000_000_000).alias("observed_at_ns"), F.when(k % 3 == 0, 4).otherwise(0).alias("state"))
+    reports = views.clock_reports(spark, sf_dir, NOW).withColumn("valid_for_ns", F.when(F.col("valid_for_ns") > 1, F.lit(10**18)).otherwise(F.col("valid_for_ns")))
+    found = ingest.reclassified(stored, reports, F.lit(JAN5), Policy(stale_ns=86_400 * 10**9))
+    return found.select("exchange_id", ev.name_of(F.col("freshness"), ev.FRESHNESS).alias("freshness"), F.array_join("restart_reasons", ",").alias("reasons"))
+
+
+@query
+def provenance_sources(spark, sf_dir):
+    kinds = spark.range(6).select(F.concat(F.lit("src."), "id").alias("source"), F.when(F.col("id") % 2 == 0, "probe").otherwise("agent").alias("source_kind"), F.lit("primary").alias("authority"))
+    return export.provenance_of(summary.included(_orders(spark, sf_dir, False), REQUEST), kinds)
+
+
+@query
+def export_fixed_columns(spark, sf_dir):
+    k = F.col("exchange_id")
+    o = _orders(spark, sf_dir).withColumns({"epoch": F.concat(F.lit("e"), k % 3), "incarnation": F.lit("i"), "sequence": k, "observed_at_ns": F.col("observed_ns"), "observed_at_domain": F.col("domain"), "received_at_ns": F.col("received_ns"), "confidence": (k % 5).cast("int")})
+    return export.sample_rows(o)
+
+
+@query
+def export_document(spark, sf_dir):
+    samples = export.json_rows(_orders(spark, sf_dir), views.HOPS)
+    return export.document(samples, "exchange_id", "sample", 400)
+
+
+@query
+def summary_json(spark, sf_dir):
+    return export.json_text(summary.summarize(_events(spark, sf_dir), ["path"], ((50, 100),)).drop("sum_overflow"), "path")
+
+
+@query
+def anomalies_and_total(spark, sf_dir):
+    both = _orders(spark, sf_dir).where(F.col("generation").isin("gen.1998", "gen.1997"))
+    hops = _once(summary.hop_summary(both, ["generation", "path"], 3).select("generation", "path", "hop_index", F.col("observed").alias("n"), "mean_ns"))
+    whole = _once(summary.summarize(_orders(spark, sf_dir, False), ["generation", "path"], ()).select("generation", "path", "n", "mean_ns"))
+    of = lambda df, g: df.where(F.col("generation") == g).drop("generation")
+    return baseline.anomalies_with_total(of(hops, "gen.1998"), of(hops, "gen.1997"), of(whole, "gen.1998"), of(whole, "gen.1997"), ["path"], Policy(watch_ns=20_000, elevated_ns=200_000))
+
+
+@query
+def baseline_shapes(spark, sf_dir):
+    stats = _once(summary.summarize(_orders(spark, sf_dir, False), ["path", "generation", "domain"], ((99, 100),)))
+    spec, k = bounds_digest(default_bounds()), F.substring("generation", 8, 1).cast("int")
+    stored = baseline.of_statistics(stats, "yearly", F.lit(NOW)).withColumns({"histogram": F.lit(spec), "probes": F.lit("99/100")})
+    named = stored.select("baseline_id", "path", "generation", "domain")
+    now = stats.join(named, ["path", "generation", "domain"]).withColumns({"histogram": F.when(k % 2 == 0, spec).otherwise("other"), "probes": F.when(k % 3 == 0, "50/100").otherwise("99/100")})
+    own = now.select("path", "generation", "domain", "n", "min_ns", "max_ns", "mean_ns", "p99", "baseline_id", "histogram", "probes")
+    found = baseline.compare(own, stored, "baseline_id", F.lit(NOW))
+    return found.select("path", "generation", "domain", F.array_join("mismatches", ",").alias("mismatches"), "applicable", "p99_delta_ns")
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------------
 
 
@@ -620,5 +722,5 @@ def stream_admission(spark, sf_dir):
     return fences.decision_counts(_streamed(spark, sf_dir))
 
 
-ORACLES = oracles.ALL | oracles_gates.ALL | oracles_ingest.ALL
+ORACLES = oracles.ALL | oracles_gates.ALL | oracles_ingest.ALL | oracles_values.ALL
 __all__ = ["ORACLES", "PROBES", "QUERIES"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.identity import fnv1a64_of
 from ..operators import admission, attribution, baseline, export, ingest, summary
 from ..sources import store
-from .policy import DEFAULT, Policy
+from .policy import DEFAULT, Policy, bounds_digest, default_bounds
 
 #: What the library does and what it refuses to claim.
 CAPABILITIES = (
@@ -171,7 +171,10 @@ class Service:
         return out
 
     def _explain(self, r: dict) -> dict:
-        return {"policy": self.policy.text(), "policy_digest": self.policy.digest(), "summary": self._summarize(r), "provenance": export.provenance(self._included(r))}
+        sources = self.spark.createDataFrame([(n, d["source_kind"], d["authority"]) for n, d in self.registry["source"].items()], "source string, source_kind string, authority string")
+        window = {"from_ns": max(0, r.get("from_ns", 0)), "to_ns": r["to_ns"]}
+        digests = {"policy_digest": self.policy.digest(), "histogram_digest": bounds_digest(default_bounds())}
+        return {"policy": self.policy.text(), **digests, "window": window, "summary": self._summarize(r), "provenance": export.provenance_of(self._included(r), sources)}
 
     def _export(self, r: dict) -> DataFrame:
         kind, hops = r["kind"], int(r.get("hops", 0))
