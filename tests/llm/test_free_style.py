@@ -249,6 +249,28 @@ def test_fingerprint_by_the_letter():
         assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def plain_best_fit(sizes, capacity):
+    """Best-fit decreasing piece by piece: each into the open sequence with the least room that it fits."""
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        fits = [b for b in bins if capacity - sum(b) >= s]
+        if fits:
+            min(fits, key=lambda b: capacity - sum(b)).append(s)
+        else:
+            bins.append([s])
+    return bins
+
+
+def test_best_fit_on_counts_equals_best_fit_piece_by_piece():
+    rng = np.random.default_rng(8)
+    for n, high in ((1, 5), (40, 30), (200, 64), (300, 20), (150, 100)):
+        sizes = rng.integers(1, high + 1, n).tolist()
+        made = pack.best_fit(dict(collections.Counter(sizes)), 100)
+        assert sum(many for many, _ in made) == len(plain_best_fit(sizes, 100))
+        assert all(sum(s * k for s, k in held) <= 100 for _, held in made)
+        assert collections.Counter(s for many, held in made for s, k in held for _ in range(many * k)) == collections.Counter(sizes)
+
+
 def test_rows_stay_told_apart_when_a_later_scan_is_split_otherwise(spark, tmp_path, monkeypatch):
     texts = [" ".join(hashlib.sha1(f"{i}/{k}".encode()).hexdigest() for k in range(3 + i)) for i in range(16)]
     rows = [(i, texts[i % 12]) for i in range(16)]

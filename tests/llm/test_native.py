@@ -270,6 +270,52 @@ def synthetic(n, seed):
     return out
 
 
+def plain_features(text):
+    """{place: value} by dictionaries, place by place."""
+    import zlib
+
+    raw = (text or "").encode()
+    counts, mask = collections.Counter(), (1 << quality_model.BITS) - 1
+    words = ["".join(c for c in w if c not in ".,;:!?\"'()[]|") for w in (text or "").split(" ")]
+    words = collections.Counter("".join(c.lower() if c.isascii() else c for c in w) for w in words if w)
+    shape = lambda w: re.sub(rb"(.)\1+", rb"\1", bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in w))
+    shapes = collections.Counter(map(shape, raw.split()))
+    counts = [(zlib.crc32(w.encode()) & mask, n) for w, n in words.items()] + [(zlib.crc32(w, 1) & mask, n) for w, n in shapes.items()]
+    counts.append((zlib.crc32(b"%d" % (10 * len(words) // max(1, sum(words.values()))), 2) & mask, 10))
+    total, out = max(1.0, sum(np.log1p(n) for _, n in counts)) ** 0.25, collections.Counter()
+    for place, n in counts:
+        out[place] += np.log1p(n) / total
+    return out
+
+
+def test_scores_match_plain_python(spark):
+    data = synthetic(300, 5) + [(900, "", 0), (901, "ONE one, (two) \u00e9t\u00e9 42 aaa!!", 2), (902, prose(400, 1), 2)]
+    model = quality_model.fit([quality_model.features(t) for _, t, _ in data], np.array([k for *_, k in data]))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_model._scored(docs, model, "text").collect()}
+    for i, t, _ in data:
+        score = sum(v * model.weights[p] for p, v in plain_features(t).items())
+        tails = [1 / (1 + np.exp(-(score - x))) for x in model.theta]
+        assert got[i]["expected_grade"] == pytest.approx(sum(tails), abs=1e-4), t
+        assert got[i]["tail_probability"] == pytest.approx(tails[-1], abs=1e-4)
+        assert got[i]["accepted"] == (got[i]["tail_probability"] >= model.keep)
+
+
+def test_slopes_are_those_of_the_plain_likelihood():
+    def likelihood(score, theta, y):
+        tails = [1.0, *[1 / (1 + np.exp(-(score - t))) for t in theta], 0.0]
+        return quality_model.WEIGHTS[y] * np.log(tails[y] - tails[y + 1])
+
+    rng, theta, eps = np.random.default_rng(4), np.array([-0.7, 1.1]), 1e-6
+    score, y = rng.normal(0, 2, 60), rng.integers(0, 3, 60)
+    pull, to = quality_model.slopes(score, theta, y)
+    for s, g, p, t in zip(score, y, pull, to, strict=True):
+        assert p == pytest.approx((likelihood(s + eps, theta, g) - likelihood(s - eps, theta, g)) / (2 * eps), abs=1e-5)
+        for k in range(2):
+            step = eps * np.eye(2)[k]
+            assert t[k] == pytest.approx((likelihood(s, theta + step, g) - likelihood(s, theta - step, g)) / (2 * eps), abs=1e-5)
+
+
 def test_ordinal_model_on_held_out_rows(spark):
     data = synthetic(500, 1)
     model = quality_model.fit([quality_model.features(t) for _, t, _ in data], np.array([k for *_, k in data]))

@@ -44,3 +44,20 @@ def test_stages_chain_and_keep_columns(spark, tmp_path):
     assert all(text[r["doc_id"]] == r["text"] for r in before if not naive_pii(r["text"]))
     packed = collections.Counter(r["doc_id"] for r in out["pack"][1])
     assert set(packed) == set(text)
+
+
+def test_stages_take_awkward_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+    from cases import documents, stored
+
+    docs = stored(documents(spark), tmp_path)
+    for name, stage in P.STAGES:
+        found = stage(spark, docs, SMALL)
+        found.write.parquet(f"{tmp_path}/{name}")
+        none = stage(spark, docs.where("doc_id < 0"), SMALL)
+        assert none.count() == 0
+        if name == "pack":
+            assert found.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
+        else:
+            assert found.columns == docs.columns == none.columns and 0 < spark.read.parquet(f"{tmp_path}/{name}").count() <= docs.count()
+            docs = spark.read.parquet(f"{tmp_path}/{name}")

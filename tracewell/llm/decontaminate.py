@@ -13,6 +13,7 @@ that the same join runs as a shuffled join on the window hash.
 
 Defined results: null text, empty text or no words: n_words 0 and not contaminated. Null or repeated doc_id: every input
 row gives its own output row. Items with a null id still mark words but are not listed. Empty benchmark: nothing is hit.
+Very long texts are scanned whole; an empty table of documents gives no rows.
 Columns other than the named ones are ignored by :func:`contamination` and kept by :func:`decontaminate`.
 """
 

@@ -16,7 +16,8 @@ them; the tasks' counts are summed up over a small table, so a length that holds
 That table is broadcast up to ``MAX_BROADCAST`` rows (counted first), beyond that joined by shuffle.
 
 Defined results: null and empty texts are one piece of length 1 (the final 0); repeated and null doc_id keep a row each;
-an empty table gives no rows.
+very long texts are cut into as many pieces as they need; an empty table gives no rows; columns other than doc_id and text,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ partitions. The least tail probability to be kept is calibrated on every fifth t
 
 Defined results: null and empty texts have no features and get the thresholds' own probabilities. Labels that are null are
 ignored; of several for a doc_id the lowest grade counts. Without labelled documents of two grades everything is kept.
-Each input row gives one row, whatever its doc_id.
+Each input row gives one row, whatever its doc_id, repeated or not; very long texts are scored whole; a tail probability equal to
+the bound is accepted; an empty table gives no rows; other columns, whatever their names, are kept by :func:`select` and left
+out by :func:`classify`.
 """
 
 from __future__ import annotations
@@ -72,6 +74,18 @@ def contrast(found: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
     return np.abs(np.log(of(best)) - np.log(of(~best)))
 
 
+def slopes(score: np.ndarray, theta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of each row's weighted log-likelihood of its grade: by its score, and by the thresholds."""
+    tail = np.hstack([np.ones((len(y), 1)), _sigmoid(score[:, None] - theta), np.zeros((len(y), 1))])
+    up, down = tail[np.arange(len(y)), y], tail[np.arange(len(y)), y + 1]
+    slope = lambda t: t * (1 - t)
+    p = np.maximum(up - down, 1e-9) / WEIGHTS[y]
+    to = np.zeros((len(y), GRADES - 1))
+    for k in range(GRADES - 1):
+        to[:, k] = np.where(y == k + 1, -slope(up) / p, np.where(y == k, slope(down) / p, 0))
+    return (slope(up) - slope(down)) / p, to
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Model | None:
     """Stochastic gradient steps (Adagrad) on the ordinal likelihood."""
     if len(set(grades.tolist())) < 2:
@@ -89,16 +103,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Model
         for part in np.array_split(train, max(1, len(train) // 32)):
             at, value, of = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part]), np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
             score = np.bincount(of, weights[at] * value, len(part))
-            tail = np.hstack([np.ones((len(part), 1)), _sigmoid(score[:, None] - theta), np.zeros((len(part), 1))])
-            y = grades[part]
-            up, down = tail[np.arange(len(part)), y], tail[np.arange(len(part)), y + 1]
-            slope = lambda t: t * (1 - t)
-            p = np.maximum(up - down, 1e-9)
-            p /= WEIGHTS[y]
-            pull = (slope(up) - slope(down)) / p  # d log-likelihood / d score
-            to = np.zeros((len(part), GRADES - 1))
-            for k in range(GRADES - 1):
-                to[:, k] = np.where(y == k + 1, -slope(up) / p, np.where(y == k, slope(down) / p, 0))
+            pull, to = slopes(score, theta, grades[part])
             places, where = np.unique(at, return_inverse=True)
             g = np.bincount(where, pull[of] * value) / len(part)
             square[places] += g * g

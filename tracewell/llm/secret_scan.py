@@ -10,7 +10,8 @@ Base kinds, leftmost and not overlapping per kind, failing matches dropped: assi
 access (20 or more), hex (24 or more). Further kinds add spans of well-known key formats; base spans always stay.
 
 Defined results: null or empty text has no spans; each input row gives one row, whatever its doc_id; offsets are code
-points, end exclusive; columns other than doc_id and text are ignored.
+points, end exclusive; very long texts are searched whole; an empty table gives no rows; columns other than doc_id and
+text, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,12 @@ Counts of all n-grams over all URLs are combined before the shuffle; all lower o
 (windows). The finished table, n-gram to log ratio, is what is broadcast; a URL's characters never leave their task unsummed.
 
 Defined results: null url or one without ``://``: host and path empty, no rule; its characters (none for null) are judged all the
-same. Without URLs of both labels every unruled URL is allowed. Each input row gives one row, whatever its page_id.
+same. Without URLs of both labels every unruled URL is allowed. Each input row gives one row, whatever its page_id;
+very long URLs are judged whole; a score equal to the bound is allowed; an empty table gives no rows; columns other than
+page_id and url, whatever their names, are ignored.
+
+The model sees whole URLs, those of the rules' own pages with them, so what a rule matched (a path like ``/en/``) is evidence for
+URLs that no rule decides: on pages where only blocking rules have a path, unruled URLs with that path are mostly blocked.
 """
 
 from __future__ import annotations

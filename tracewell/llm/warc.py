@@ -18,7 +18,8 @@ Equal payloads are found by grouping digests, combined before the shuffle; no ht
 
 Defined results: null html is the empty payload; null url gives no target URI; rows with the same page_id and payload are
 each a response if that page_id is the largest; a null page_id counts as smaller than any and, where no page of a payload has
-an id, all its records are responses; an empty table gives no rows.
+an id, all its records are responses; very long payloads are written in segments; an empty table gives no rows; columns
+other than page_id, url and html, whatever their names, are ignored.
 """
 
 from __future__ import annotations
