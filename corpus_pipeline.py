@@ -3,8 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs: low quality and toxic documents go, one document of each group of near copies stays, documents that hold a
 benchmark passage go, personal data is replaced, and what is left is packed into sequences, which are written whole (a row
-each) to the shared folder and returned as their parts in order, with their token ids. All but the last return the columns of ``documents``. The trained stages cannot be written in SQL, so there is no ORACLE_SQL; tests hold the stages
-against brute force.
+each) to the shared folder and returned as their parts in order, with their token ids. All but the last return the columns
+of ``documents``. The trained stages cannot be written in SQL, so there is no ORACLE_SQL; tests hold the stages against
+brute force.
+
+Defined results: null and empty texts are judged like any other and, where kept, packed as the final 0 alone; they are near
+copies of each other, so one of them stays. Very long texts are read whole by every stage. Ties between near copies go to
+the smallest doc_id. Repeated rows are near copies too. A null doc_id counts as larger than any. Empty tables (documents,
+labels or benchmark) give empty results, keep everything, and hit nothing. Extra columns, whatever their names, are kept
+by all stages but the last.
 """
 
 from __future__ import annotations
@@ -35,7 +42,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack.segments(pack.write_sequences(docs, shared_dir(spark, "sequences")))
 
 
-STAGES = [("quality", quality), ("deduplicate", deduplicate), ("decontaminate", drop_contaminated), ("redact", redact), ("pack", pack_sequences)]
+STAGES = [
+    ("quality", quality),
+    ("deduplicate", deduplicate),
+    ("decontaminate", drop_contaminated),
+    ("redact", redact),
+    ("pack", pack_sequences),
+]
 ORACLE_SQL = None
 
 
