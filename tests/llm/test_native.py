@@ -234,6 +234,18 @@ def test_rules_and_models(spark, tmp_path):
     assert url_filter.judge(pages.where("page_id < 0")).count() == 0
 
 
+def test_models_do_not_read_what_rules_read(spark):
+    seen = {
+        "http://m.Shop.example.net/es/7?q#f": "http://.m.shop./7?q#f", "https://www.example.com/en/": "https://./", "https://org/fr/es/x": "https://.org./x",
+        "http://a.company.net": "http://.a.company.", "h://netto.com/essen/en/": "h://.netto./essen/en/", "no scheme/en/": "no scheme/en/", None: None,
+    }
+    df = spark.createDataFrame([(u,) for u in seen], "u string")
+    F = url_filter.F
+    assert {r["u"]: r["seen"] for r in df.select("u", url_filter.masked(F.col("u"), url_filter.host_of(F.col("u"))).alias("seen")).collect()} == seen
+    plain = df.select(url_filter.masked(F.col("u"), url_filter.host_of(F.col("u")), [("allow", "/")]).alias("seen")).where("seen like '%essen%'")
+    assert plain.collect()[0]["seen"] == "h://.netto.com./essen/en/"
+
+
 def test_model_ratios_match_the_formula(spark):
     urls = [("ab://c.com/x1", "allow", False), ("zz://q.net/es/", "block", True), ("ab://d.net/es/", "block", False)]
     df = spark.createDataFrame(urls, "u string, _action string, _held boolean").withColumn("_symbols", url_filter.symbols(url_filter.F.col("u")))

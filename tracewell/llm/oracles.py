@@ -113,7 +113,9 @@ FROM d LEFT JOIN a USING (r)
 
 
 def _op7() -> str:
-    from .url_filter import ALPHABET, HELD, ORDER, RULES, STEP, WEIGHT
+    from .url_filter import ALPHABET, HELD, KEEP, ORDER, RULES, STEP, WEIGHT, masks
+
+    labels, starts = masks()
 
     def case(value) -> str:
         fits = []
@@ -133,7 +135,9 @@ def _op7() -> str:
 WITH v AS (
   SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), {_ABC}), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
     coalesce(substr(md5(url), 1, 1) IN ({', '.join(f"'{h}'" for h in HELD)}), false) AS held,
-    '{'^' * ORDER}' || regexp_replace(regexp_replace(translate(coalesce(url, ''), {_ABC}), '[0-9]', '0', 'g'), '[^a-z0{marks}]', '*', 'g') || '$' AS s FROM pages
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '^(?s:.*?)://') || regexp_replace('.' || host || '.', '{labels}', '.', 'g')
+      || regexp_replace(substr(url, strpos(url, '://') + 3 + length(host)), '{starts}', '/') ELSE coalesce(url, '') END AS seen,
+    '{'^' * ORDER}' || regexp_replace(regexp_replace(translate(seen, {_ABC}), '[0-9]', '0', 'g'), '[^a-z0{marks}]', '*', 'g') || '$' AS s FROM pages
 ), u AS (
   SELECT *, {case(lambda a, t: t)} AS rule, {case(lambda a, t: a)} AS act FROM v
 ), g AS (
@@ -145,10 +149,10 @@ WITH v AS (
 ), h AS (
   SELECT act, CAST(round(fit_ * {STEP}) AS INTEGER) AS s, count(*) AS n FROM u JOIN score USING (r) WHERE held AND act IS NOT NULL GROUP BY ALL
 ), bound AS (
-  SELECT t.s, (SELECT sum(n) FROM h WHERE act = 'allow' AND h.s >= t.s) / (SELECT sum(n) FROM h WHERE act = 'allow')::DOUBLE AS good, (SELECT sum(n) FROM h WHERE act = 'block' AND h.s < t.s) / (SELECT sum(n) FROM h WHERE act = 'block')::DOUBLE AS bad
+  SELECT t.s, (SELECT sum(n) FROM h WHERE act = 'allow' AND h.s >= t.s) / (SELECT sum(n) FROM h WHERE act = 'allow')::DOUBLE AS good
   FROM (SELECT DISTINCT s FROM h) t
 ), best AS (
-  SELECT (s + coalesce((SELECT max(h.s) FROM h WHERE h.s < bound.s), s - 1))::DOUBLE / 2 / {STEP} AS b FROM bound WHERE (SELECT count(DISTINCT act) FROM h) = 2 ORDER BY coalesce(good, 0) + coalesce(bad, 0) DESC, abs(s), s LIMIT 1
+  SELECT (s + coalesce((SELECT max(h.s) FROM h WHERE h.s < bound.s), s - 1))::DOUBLE / 2 / {STEP} AS b FROM bound WHERE (SELECT count(DISTINCT act) FROM h) = 2 AND good >= {KEEP} ORDER BY s DESC LIMIT 1
 )
 SELECT page_id, host, path, rule, coalesce(act, CASE WHEN full_ < (SELECT b FROM best) THEN 'block' ELSE 'allow' END) AS verdict
 FROM u JOIN score USING (r)
