@@ -267,7 +267,30 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     stream = fences.admit_stream(fences.file_stream(spark, str(tmp_path / "in"), "*.parquet", df.schema), 2)
     columns = ["arrival", "decision", "gap", "session_current", "session_reason", "verdict"]
     got = fences.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "state")).select(columns).orderBy("arrival").collect()
-    assert got == admission.admit(df, 2).select(columns).orderBy("arrival").collect()
+    for block in (admission.BLOCK, 150, 7, 1):
+        assert got == admission.admit(df, 2, block=block).select(columns).orderBy("arrival").collect()
+
+
+def test_blocks_of_arrivals_do_not_change_the_fences(spark):
+    rng = random.Random(4)
+    rows = [(1 if rng.random() < 0.7 else rng.randrange(5), rng.choice(["e0", f"e{i // 60}", None]), "i", rng.randrange(1, 4), rng.choice([None, i, i - 3, i // 2])) for i in range(300)]
+    df = stream_rows(spark, rows).withColumn("arrival", F.col("arrival") * 3 - 400)
+    fatal = F.col("epoch").isNull()
+    want = admission.admit(df, 2, fatal=fatal).where(~fatal).orderBy("arrival").collect()
+    assert {r["session_reason"] for r in want} == {None, "epoch_advanced", "session_superseded"} and want == admission.admit(df, 2, fatal=fatal, block=25).where(~fatal).orderBy("arrival").collect()
+    # The rules record by record.
+    for source in range(5):
+        seen, newest, born = {}, None, []
+        for r in (r for r in want if r["source"] == source):
+            key = r["epoch"]
+            if key not in born:
+                born.append(key)
+                newest = key
+            assert (r["session"], r["session_current"], r["newest_epoch"]) == (born.index(key) + 1, key == newest, newest)
+            own = seen.setdefault(key, [])
+            top = max((s for s, _ in own if s is not None), default=None)
+            assert (r["seen"], r["revision_current"]) == (top, all(v <= r["source_revision"] for _, v in own))
+            own.append((r["sequence"], r["source_revision"]))
 
 
 def test_state_is_bounded_and_forgets_as_defined():

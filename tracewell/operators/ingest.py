@@ -1,9 +1,8 @@
 """Ingest as one operator: records of requests, joined with the registry, checked, timed, fenced, and given a verdict.
 
-The dimensions (paths, sources, generations, hops, clock reports) are joined by Spark's own choice of join. Records are
-shuffled once by source for all fences. A record that fails a structural check is rejected before the fences, so it
-uses up no sequence and opens no session. A source is ordered by arrival in one task; where a source holds a large share of
-all records, or :func:`admission.within_bounds` names it, ``tracewell.streaming`` decides the same batch by batch.
+The dimensions (paths, sources, generations, hops, clock reports) are joined by Spark's own choice of join. A record that
+fails a structural check is rejected before the fences, so it uses up no sequence and opens no session. The fences order blocks
+of a source's arrivals, not whole sources. A source that :func:`admission.within_bounds` names is for ``tracewell.streaming``.
 """
 
 from __future__ import annotations
